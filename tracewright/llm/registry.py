@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracewright.llm import splitting
+from tracewright.llm import leakage, splitting
 
 _QUERIES = {
     "p5_found": splitting.p5_found,
     "p5_pieces": splitting.p5_pieces,
+    "p7_found": leakage.p7_found,
 }
 
 _SQL = {"p5_found": splitting.P5_FOUND_SQL}
