@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tracewright.llm import leakage, splitting
+from tracewright.llm import handwritten, leakage, packing, splitting
 
 _QUERIES = {
+    "p4_found": handwritten.p4_found,
     "p5_found": splitting.p5_found,
     "p5_pieces": splitting.p5_pieces,
+    "p6_assignment": packing.p6_assignment,
+    "p6_use": packing.p6_use,
     "p7_found": leakage.p7_found,
 }
 
