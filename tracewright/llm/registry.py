@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracewright.llm import handwritten, leakage, packing, splitting
+from tracewright.llm import answers, handwritten, leakage, packing, splitting
 
 _QUERIES = {
+    "p2_found": answers.p2_found,
     "p4_found": handwritten.p4_found,
     "p5_found": splitting.p5_found,
     "p5_pieces": splitting.p5_pieces,
