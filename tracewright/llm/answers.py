@@ -39,7 +39,7 @@ STOPWORDS = {
     "de": "der die das und ist nicht mit für auf ein eine wird den dem des zu im bei nach weil ohne wieder mehr jetzt auch von sich wie nur diese dieser keine alle wurde aus".split(),
     "es": "el la los las y es no con para en un una de del por que se al ya cada porque sin más ahora este esta otra vez después todas sobre como lo su".split(),
     "fr": "le la les et est ne pas avec pour dans un une de des du au aux que qui ce cette plus chaque car sans maintenant après tous sur comme à son l d".split(),
-    "pt": "o os as e é não com para em um uma de do da dos das no na por que se já cada porque sem mais agora este esta outra depois todas como seu à sua".split(),
+    "pt": "a o os as e é não com para em um uma de do da dos das no na por que se já cada porque sem mais agora este esta outra depois todas como seu à sua".split(),
     "pl": "i w na z nie się do jest to że dla po przy bo bez już od każdym wszystkich ta ten teraz znów pod przez jak o".split(),
     "it": "il lo la gli le e è non con per in un una di del della che si al ogni perché senza più ora questo questa dopo tutti come da".split(),
     "nl": "de het een en is niet met voor op van te dat bij na omdat zonder weer meer nu ook deze geen alle aan door".split(),

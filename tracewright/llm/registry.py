@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import answers, handwritten, leakage, packing, splitting
+from tracewright.llm import answers, handwritten, leakage, packing, reading, splitting
 
 _QUERIES = {
     "p2_found": answers.p2_found,
@@ -12,6 +12,7 @@ _QUERIES = {
     "p6_assignment": packing.p6_assignment,
     "p6_use": packing.p6_use,
     "p7_found": leakage.p7_found,
+    "p8_found": reading.p8_found,
 }
 
 _SQL = {"p5_found": splitting.P5_FOUND_SQL}
