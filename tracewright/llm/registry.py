@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tracewright.llm import answers, handwritten, leakage, packing, reading, splitting
+from tracewright.llm import answers, consensus, handwritten, leakage, packing, reading, splitting
 
 _QUERIES = {
+    "p1_found": consensus.p1_found,
+    "p1_consensus": consensus.p1_consensus,
+    "p1_raters": consensus.p1_raters,
     "p2_found": answers.p2_found,
     "p4_found": handwritten.p4_found,
     "p5_found": splitting.p5_found,
