@@ -7,7 +7,7 @@ a logistic model of whether a sentence can end where it ends, from its last word
 distance to the last comma and conjunction. It is fitted on sentences of the answers themselves; whole
 sentences against their own beginnings.
 
-The model is fitted on at most SAMPLE_ROWS answers (those of least hash of the id); everything else
+The model is fitted on at most SAMPLE_ROWS answers (chosen by the hash of the id); everything else
 covers all rows. Order of defects where several hold: as in the first line.
 
 Defined cases: a null or blank answer is empty; a null or empty array of summaries is no case; a null
@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import bounded_sample
 from tracewright.session import table
 
 SAMPLE_ROWS, SAMPLE_SENTENCES, DIMS = 6000, 14_000, 1 << 17
@@ -269,8 +270,8 @@ def request_language(prompt: str) -> str | None:
 def find_defects(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(generation_id, filename, defect) of unusable answers; one narrow pass after the fit."""
     kept = rows.select("generation_id", "prompt", "description", "file_summaries")
-    sample = kept.select("description", F.transform("file_summaries", lambda x: x["summary"]).alias("parts")).orderBy(F.xxhash64("generation_id"), "generation_id").limit(sample_rows)
-    answers = [a for d, parts in sample.collect() for a in (d, *(parts or [])) if a]
+    sample = bounded_sample(kept, "generation_id", sample_rows).select("description", F.transform("file_summaries", lambda x: x["summary"]).alias("parts"))
+    answers = [a for d, parts in sample.collect()[:sample_rows] for a in (d, *(parts or [])) if a]
     sent = rows.sparkSession.sparkContext.broadcast(fit_terminal_model(answers))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

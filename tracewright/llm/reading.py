@@ -6,7 +6,7 @@ documents which of two is harder; the grades of the training pairs are the mean
 formulas, and only pairs that lie at least PAIR_GAP school years apart are used. Isotonic regression
 turns scores into school years, which give the band.
 
-The ranker is fitted on at most SAMPLE_ROWS documents (those of least hash of the id); features,
+The ranker is fitted on at most SAMPLE_ROWS documents (chosen by the hash of the id); features,
 scores and bands cover all documents.
 
 Defined cases: null, empty and short texts, texts mainly in another language and texts with less than
@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import bounded_sample
 from tracewright.session import table
 
 SAMPLE_ROWS, LEAST_WORDS, PAIR_GAP = 4000, 80, 1.0
@@ -180,8 +181,8 @@ def measure_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 def reading_levels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, years, band). The text goes through Python once for the sample and once for all."""
-    sample = docs.filter(F.length(text) >= 4 * LEAST_WORDS).select(doc_id, text).orderBy(F.xxhash64(doc_id), doc_id).limit(sample_rows)
-    fitted = np.array([r["m"] for r in measure_documents(sample, doc_id, text).collect()])
+    sample = bounded_sample(docs, doc_id, sample_rows)
+    fitted = np.array([r["m"] for r in measure_documents(sample, doc_id, text).collect()[:sample_rows]])
     model = fit_levels(fitted) if len(fitted) else None
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tracewright.llm import answers, consensus, handwritten, leakage, packing, reading, splitting
+from tracewright.llm import answers, consensus, handwritten, leakage, packing, personal, reading, splitting
 
 _QUERIES = {
     "p1_found": consensus.p1_found,
     "p1_consensus": consensus.p1_consensus,
     "p1_raters": consensus.p1_raters,
     "p2_found": answers.p2_found,
+    "p3_found": personal.p3_found,
+    "p3_masked": personal.p3_masked,
     "p4_found": handwritten.p4_found,
     "p5_found": splitting.p5_found,
     "p5_pieces": splitting.p5_pieces,
