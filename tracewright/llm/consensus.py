@@ -19,10 +19,10 @@ are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark import StorageLevel
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,95 +40,110 @@ def version_of(label: Column) -> Column:
     return F.when(text.isin(*VERSIONS), text)
 
 
-def _by_class(expr, classes: int) -> list[Column]:
-    return [expr(k) for k in range(classes)]
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _inputs(batch: pd.DataFrame) -> np.ndarray:
+    return np.column_stack([np.array(batch["x"].tolist(), dtype=float), np.ones(len(batch))])
 
 
 def fit_consensus(votes: DataFrame, features: Sequence[str], classes: Sequence[str], rounds: int = ROUNDS, ridge: float = RIDGE) -> tuple[DataFrame, DataFrame]:
     """votes: item, rater, label and the feature columns, one row per item and rater.
 
-    Gives (item, n, q: the distribution over classes, split: agreeing pairs of raters) and
-    (rater, votes, reliability, m: the matrix row by row).
+    Gives (item, n, q: the distribution over classes, agreement: share of agreeing pairs of raters) and
+    (rater, votes, reliability: the chance to name an item's class). The plans of all rounds are alike;
+    what changes travels as data, so that no code is generated anew.
     """
-    spark = votes.sparkSession
-    ensure_checkpoint_dir(spark)
-    c = len(classes)
-    at = {k: i for i, k in enumerate(classes)}
+    ensure_checkpoint_dir(votes.sparkSession)
+    c, at = len(classes), {k: i for i, k in enumerate(classes)}
     coded = votes.select("item", "rater", F.create_map(*[F.lit(x) for kv in at.items() for x in kv])[F.col("label")].alias("l"), *features)
-    per_item = coded.groupBy("item").agg(
-        F.count("*").alias("n"),
-        F.collect_list(F.struct("rater", "l")).alias("votes"),
-        *[F.sum((F.col("l") == k).cast("double")).alias(f"c{k}") for k in range(c)],
-        *[F.first(f, ignorenulls=True).alias(f) for f in features],
-    )
-    stats = per_item.agg(F.count("*").alias("items"), *[F.coalesce(F.avg(f), F.lit(0.0)).alias(f"m_{f}") for f in features], *[F.coalesce(F.stddev_samp(f), F.lit(0.0)).alias(f"s_{f}") for f in features]).first()
-    scaled = [F.coalesce((F.col(f) - stats[f"m_{f}"]) / (stats[f"s_{f}"] or 1.0), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)]
-    items = per_item.select("item", "n", "votes", *[f"c{k}" for k in range(c)], *scaled).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = coded.groupBy("item").agg(*[F.first(f, ignorenulls=True).alias(f) for f in features]).agg(
+        F.count("*").alias("items"), *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_samp(f).alias(f"s_{f}") for f in features]
+    ).first()
+    scaled = F.array(*[F.coalesce((F.first(f, ignorenulls=True) - (stats[f"m_{f}"] or 0.0)) / (stats[f"s_{f}"] or 1.0), F.lit(0.0)) for f in features])
+    tally = [F.count_if(F.col("l") == k) for k in range(c)]
+    items = coded.groupBy("item").agg(F.count("*").alias("n"), F.array(*[t.cast("double") for t in tally]).alias("counts"), scaled.alias("x"), F.collect_list(F.struct("rater", "l")).alias("votes")).checkpoint()
+    said = items.select("item", F.explode("votes").alias("v")).select("item", "v.rater", "v.l").checkpoint()
     total = max(1, stats["items"])
     weights = np.zeros((c, len(features) + 1))
-
-    def logits() -> list[Column]:
-        return [F.lit(float(w[-1])) + sum((F.lit(float(w[i])) * F.col(f"x{i}") for i in range(len(features))), F.lit(0.0)) for w in weights]
-
-    def softmax(of: list[Column]) -> list[Column]:
-        top = F.greatest(*of)
-        powers = [F.exp(x - top) for x in of]
-        whole = sum(powers[1:], powers[0])
-        return [p / whole for p in powers]
-
-    def posterior(matrices: DataFrame | None) -> DataFrame:
-        keep = ["item", "n", *[f"c{k}" for k in range(c)], *[f"x{i}" for i in range(len(features))]]
-        if matrices is None:  # the share of votes, smoothed
-            return items.select(*keep, *[((F.col(f"c{k}") + 0.2) / (F.col("n") + 0.2 * c)).alias(f"q{k}") for k in range(c)])
-        said = items.select("item", F.explode("votes").alias("v")).select("item", "v.rater", "v.l").join(matrices, ["rater", "l"])
-        weighed = said.groupBy("item").agg(*[F.sum(f"ll{k}").alias(f"ll{k}") for k in range(c)])
-        joined = items.select(*keep).join(weighed, "item")
-        raw = [F.col(f"ll{k}") + z for k, z in enumerate(logits())]
-        return joined.select(*keep, *[q.alias(f"q{k}") for k, q in enumerate(softmax(raw))])
-
-    def confusion(post: DataFrame) -> DataFrame:
-        """log P(l | k) for each rater and given label; a rater's row leans on the rows of all raters."""
-        said = items.select("item", F.explode("votes").alias("v")).select("item", "v.rater", "v.l").join(post.select("item", *[f"q{k}" for k in range(c)]), "item")
-        counts = said.groupBy("rater", "l").agg(*[F.sum(f"q{k}").alias(f"n{k}") for k in range(c)])
-        own = counts.groupBy("rater").agg(F.sum(sum((F.col(f"n{k}") for k in range(c)), F.lit(0.0))).alias("votes"), *[F.sum(f"n{k}").alias(f"t{k}") for k in range(c)])
-        pooled = {r["l"]: r for r in counts.groupBy("l").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(c)]).collect()}  # a row per class
-        whole = [sum(r[f"n{k}"] for r in pooled.values()) or 1.0 for k in range(c)]
-        prior = [[3.0 * ((pooled[l][f"n{k}"] if l in pooled else 0.0) + 0.5) / (whole[k] + 0.5 * c) + 0.05 for k in range(c)] for l in range(c)]
-        mass = [sum(prior[l][k] for l in range(c)) for k in range(c)]
-        grid = own.withColumn("l", F.explode(F.array(*[F.lit(l) for l in range(c)])))
-        full = grid.join(counts, ["rater", "l"], "left")
-        pick = lambda k: F.array(*[F.lit(prior[l][k]) for l in range(c)])[F.col("l")]
-        return full.select("rater", "l", "votes", *[F.log((F.coalesce(f"n{k}", F.lit(0.0)) + pick(k)) / (F.col(f"t{k}") + mass[k])).alias(f"ll{k}") for k in range(c)])
-
-    matrices = None
+    with_q = "item string, n long, counts array<double>, x array<double>, q array<double>"
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                counts = np.array(batch["counts"].tolist()) + 0.2
+                yield batch.assign(q=list(counts / counts.sum(1, keepdims=True)))
+
+    def posterior(matrices: DataFrame | None, w: np.ndarray) -> DataFrame:
+        plain = items.select("item", "n", "counts", "x")
+        if matrices is None:
+            return plain.mapInPandas(start, with_q)
+
+        def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    z = np.array(batch["ll"].tolist()) + _inputs(batch) @ w.T
+                    yield batch.drop(columns="ll").assign(q=list(_softmax(z)))
+
+        logs = said.join(matrices.select("rater", "l", "ll"), ["rater", "l"]).groupBy("item").agg(F.array(*[F.sum(F.col("ll")[k]) for k in range(c)]).alias("ll"))
+        return plain.join(logs, "item").mapInPandas(weigh, with_q)
+
+    def confusion(post: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        """(rater, l, ll: log P(l | k), votes); a rater's rows lean on those of all raters."""
+        counts = said.join(post.select("item", "q"), "item").groupBy("rater", "l").agg(F.array(*[F.sum(F.col("q")[k]) for k in range(c)]).alias("m")).checkpoint()
+        pooled = np.full((c, c), 0.5)
+        for r in counts.groupBy("l").agg(F.array(*[F.sum(F.col("m")[k]) for k in range(c)]).alias("m")).collect():  # a row per class
+            pooled[r["l"]] += r["m"]
+        prior = 3.0 * pooled / pooled.sum(0) + 0.05
+
+        def logs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for rater, rows in batch.itertuples(index=False, name=None):
+                    m = np.zeros((c, c))
+                    for r in rows:
+                        m[r["l"]] += r["m"]
+                    full = np.log((m + prior) / (m + prior).sum(0))
+                    out += [(rater, l, full[l].tolist(), float(m.sum())) for l in range(c)]
+                yield pd.DataFrame(out, columns=["rater", "l", "ll", "votes"])
+
+        each = counts.groupBy("rater").agg(F.collect_list(F.struct("l", "m")).alias("rows"))
+        return each.mapInPandas(logs, "rater string, l int, ll array<double>, votes double"), pooled
+
+    def pull(post: DataFrame, w: np.ndarray) -> np.ndarray:
+        """The classifier's gradient: one row per partition, added up."""
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            g = np.zeros_like(w)
+            for batch in batches:
+                if len(batch):
+                    x = _inputs(batch)
+                    g += (np.array(batch["q"].tolist()) - _softmax(x @ w.T)).T @ x
+            yield pd.DataFrame({"i": range(g.size), "g": g.ravel()})
+
+        sums = post.mapInPandas(part, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+        g = np.zeros(w.size)
+        for r in sums:
+            g[r["i"]] = r["g"]
+        return g.reshape(w.shape) / total
+
+    matrices, pooled = None, np.ones((c, c))
     for _ in range(rounds):
-        post = posterior(matrices).persist(StorageLevel.MEMORY_AND_DISK)
-        fresh = confusion(post).checkpoint()
-        p = softmax(logits())
-        xs = [*[F.col(f"x{i}") for i in range(len(features))], F.lit(1.0)]
-        sums = post.agg(*[F.sum((F.col(f"q{k}") - p[k]) * x).alias(f"g{k}_{i}") for k in range(c) for i, x in enumerate(xs)]).first()
-        grad = np.array([[sums[f"g{k}_{i}"] or 0.0 for i in range(len(xs))] for k in range(c)]) / total
+        post = posterior(matrices, weights).checkpoint()
+        fresh, pooled = confusion(post)
         decay = np.append(np.full(len(features), ridge / math.sqrt(total)), 0.0)
-        weights = weights + 1.5 * (grad - weights * decay)
-        post.unpersist()
-        matrices = fresh
-    post = posterior(matrices)
-    pairs = sum((F.col(f"c{k}") * (F.col(f"c{k}") - 1) for k in range(c)), F.lit(0.0)) / (F.col("n") * (F.col("n") - 1))
-    consensus = post.select("item", "n", F.array(*[f"q{k}" for k in range(c)]).alias("q"), F.when(F.col("n") > 1, pairs).alias("agreement"))
-    share = {r["l"]: r["s"] for r in coded.groupBy("l").count().select("l", (F.col("count") / F.sum("count").over(_everything())).alias("s")).collect()}
-    hit = matrices.groupBy("rater").agg(
-        F.max("votes").alias("votes"),
-        F.sum(sum((F.when(F.col("l") == k, F.exp(f"ll{k}") * float(share.get(k, 0.0))).otherwise(0.0) for k in range(c)), F.lit(0.0))).alias("reliability"),
-    )
+        weights = weights + 1.5 * (pull(post, weights) - weights * decay)
+        matrices = fresh.checkpoint()
+    share = pooled.sum(0) / pooled.sum()
+    same = F.aggregate("counts", F.lit(0.0), lambda s, x: s + x * (x - 1)) / (F.col("n") * (F.col("n") - 1))
+    consensus = posterior(matrices, weights).select("item", "n", "q", F.when(F.col("n") > 1, same).alias("agreement"))
+    of_l = F.array(*[F.lit(float(s)) for s in share])
+    hit = matrices.groupBy("rater").agg(F.max("votes").alias("votes"), F.sum(F.exp(F.col("ll")[F.col("l")]) * of_l[F.col("l")]).alias("reliability"))
     return consensus, hit
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
-
-
 def rating_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per PR and rater with the usable label sent last, and features of the PR."""
     sheets = table(spark, sf_dir, "ratings")
@@ -151,17 +166,13 @@ FEATURES = ["f_add", "f_del", "f_files", "f_body", "f_title"]
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    votes = rating_votes(spark, sf_dir).checkpoint() if _ready(spark) else None
+    ensure_checkpoint_dir(spark)
+    votes = rating_votes(spark, sf_dir).checkpoint()
     names = votes.select("item", "repo_name", "pr_number").distinct()
     consensus, raters = fit_consensus(votes, FEATURES, VERSIONS)
     return names, consensus, raters
 
 
-def _ready(spark: SparkSession) -> bool:
-    ensure_checkpoint_dir(spark)
-    return True
-
-
 def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The settled label of each rated PR, its certainty and the raters' agreement."""
     names, consensus, _ = _fitted(spark, sf_dir)
