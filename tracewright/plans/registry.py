@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import evidence
+from tracewright.plans import evidence, judged
 
-MODULES = (evidence,)
+MODULES = (judged, evidence)
 
 
 def queries() -> dict:
