@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import evidence, judged
+from tracewright.plans import evidence, judged, survey
 
-MODULES = (judged, evidence)
+MODULES = (judged, survey, evidence)
 
 
 def queries() -> dict:
