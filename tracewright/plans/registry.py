@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import evidence, judged, survey
+from tracewright.plans import evidence, judged, survey, texts
 
-MODULES = (judged, survey, evidence)
+MODULES = (judged, survey, evidence, texts)
 
 
 def queries() -> dict:
