@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import evidence, judged, survey, texts
+from tracewright.plans import evidence, graphs, judged, survey, texts
 
-MODULES = (judged, survey, evidence, texts)
+MODULES = (judged, survey, evidence, texts, graphs)
 
 
 def queries() -> dict:

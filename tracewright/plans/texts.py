@@ -79,7 +79,7 @@ def demos(spark: SparkSession, d: str) -> DataFrame:
     """The three best documents for each document whose id is divisible by 50."""
     ensure_checkpoint_dir(spark)
     docs = _demos(spark, d).checkpoint()
-    return R.top_demos(docs, docs.filter("id % 50 = 0"), 3).select("query", "id", F.round("score", 6).alias("score"), "place")
+    return R.top_demos(docs, docs.filter("id % 50 = 0"), 3).select("query", "id", F.round("score", 4).alias("score"), "place")
 
 
 DEMOS_SQL = f"d AS (SELECT doc_id AS id, COALESCE(source, '#' || CAST(doc_id AS VARCHAR)) AS scope, {_TOKENS} AS tokens, (doc_id % 7)::INT AS files FROM documents), n AS (SELECT COUNT(*) AS n, GREATEST(1.0::DOUBLE, AVG(LEN(tokens))) AS avgdl FROM d), df AS (SELECT token, COUNT(DISTINCT id) AS df FROM (SELECT id, UNNEST(tokens) AS token FROM d) GROUP BY 1)"
@@ -90,7 +90,7 @@ def demos(spark: SparkSession, d: str) -> DataFrame:
     """The three best documents for each document whose id is divisible by 50."""
     ensure_checkpoint_dir(spark)
     docs = _demos(spark, d).checkpoint()
-    return R.top_demos(docs, docs.filter("id % 50 = 0"), 3).select("query", "id", F.round("score", 6).alias("score"), "place")
+    return R.top_demos(docs, docs.filter("id % 50 = 0"), 3).select("query", "id", F.round("score", 4).alias("score"), "place")
 
 
 def _shared(spark: SparkSession) -> bool:
@@ -108,7 +108,7 @@ c AS (SELECT q.id AS qid, ds.id, COALESCE(hit.bm, 0) AS bm, CASE WHEN q.uniq > 0
    + 0.2::DOUBLE * (1 - LEAST(ABS(q.uniq - ds.size) / GREATEST(q.uniq, ds.size, 1)::DOUBLE, 1)) + 0.1::DOUBLE * (1 - LEAST(ABS(q.files - ds.files) / GREATEST(q.files, ds.files, 1)::DOUBLE, 1)) AS base
   FROM qs q JOIN ds ON q.scope <> ds.scope LEFT JOIN hit ON hit.qid = q.id AND hit.id = ds.id),
 s AS (SELECT *, MIN(bm) OVER (PARTITION BY qid) AS lo, MAX(bm) OVER (PARTITION BY qid) AS hi FROM c)
-SELECT qid AS query, id, ROUND(ROUND(0.5 * base + 0.25 * CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0 END, 9), 6) AS score, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY ROUND(0.5 * base + 0.25 * CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0 END, 9) DESC, id DESC)::INT AS place FROM s QUALIFY place <= 3"""
+SELECT qid AS query, id, ROUND(ROUND(0.5 * base + 0.25 * CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0 END, 9), 4) AS score, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY ROUND(0.5 * base + 0.25 * CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0 END, 9) DESC, id DESC)::INT AS place FROM s QUALIFY place <= 3"""
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
