@@ -202,10 +202,16 @@ def clean_message_line(text: Text) -> Column:
 
 
 def clean_markdown(text: Text) -> Column:
-    """Without fences, bullets, heading marks and emphasis."""
-    kept = F.filter(lines(text), lambda x: ~F.trim(x).startswith("```"))
-    bare = F.transform(kept, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\s*#{1,6}\s+", ""), r"^\s*[-*+]\s+", ""), r"\*\*|__|`", ""))
-    return trimmed(F.array_join(bare, "\n"))
+    """Without an outer fence, bullets, heading marks and emphasis; lines stripped."""
+    inner = trimmed(F.regexp_replace(trimmed(F.regexp_replace(trimmed(text), r"\A```\w*\n?", "")), r"\n?```\z", ""))
+    rules = ((r"^\s*[-*•+]\s*", ""), (r"^#+\s*", ""), (r"\*\*(.*?)\*\*", "$1"), (r"\*(.*?)\*", "$1"), (r"^\s+|\s+$", ""))
+
+    def bare(x: Column) -> Column:
+        for pattern, to in rules:
+            x = F.regexp_replace(x, pattern, to)
+        return x
+
+    return trimmed(F.array_join(F.transform(lines(inner), bare), "\n"))
 
 
 def normalize_summary(text: Text) -> Column:

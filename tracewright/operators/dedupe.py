@@ -57,6 +57,8 @@ def condense(df: DataFrame, group: Sequence[str], text: str, order: str, ratio:
         sizes: list[int] = []
         kept = []
         for i, t in enumerate(rows[text].fillna("").tolist()):
+            if not t:
+                continue
             at = next((k for k, h in enumerate(heads) if difflib.SequenceMatcher(None, t, h).ratio() >= ratio), None)
             if at is None:
                 heads.append(t)

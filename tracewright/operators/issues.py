@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEYWORD = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?|related? to|relates to|refs?|references?)\b[:\s]*(.*)"
-REFERENCE = r"(https?://[^\s/]+/[\w.-]+/[\w.-]+/issues/\d+|[\w.-]+/[\w.-]+#\d+|#\d+)"
+# The closing keywords and the three forms of a reference.
+KEYWORD = r"(?i)\b(?:close[sd]?|fix(?:es|ed)?|resolve[sd]?)\b(.*)"
+REFERENCE = r"(https?://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/issues/\d+|[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#\d+|#\d+)"
 
 
 def linked_issues(df: DataFrame, repo: str, text: str, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -12,28 +13,8 @@ from tracewright.functions import scores as S
 from tracewright.functions import text as T
 
 
-def clipped(a: Column, b: Column) -> Column:
-    """Size of the overlap of two bags: for each distinct gram the lesser of its counts."""
-    both = F.array_intersect(a, b)
-    n = lambda bag, g: F.size(bag) - F.size(F.array_remove(bag, g))
-    return F.aggregate(both, F.lit(0), lambda s, g: s + F.least(n(a, g), n(b, g)))
-
-
-def lcs_length(reference: str, candidate: str) -> Column:
-    """The longest common subsequence of two token arrays, as an Arrow function.
-
-    One row of the table of lengths is held as bits of a whole number, so that a token costs a few
-    word operations on it instead of a loop over the other text.
-    """
-
-    @F.pandas_udf("int")
-    def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_lcs_bits(x, y) for x, y in zip(a, b)])
-
-    return lcs(F.col(reference), F.col(candidate))
-
-
 def _lcs_bits(a: Sequence[str] | None, b: Sequence[str] | None) -> int:
+    """Length of the longest common subsequence; a row of the table of lengths is the bits of one number."""
     if a is None or b is None or not len(a) or not len(b):
         return 0
     where: dict[str, int] = {}
@@ -47,16 +28,31 @@ def _lcs_bits(a: Sequence[str] | None, b: Sequence[str] | None) -> int:
     return len(a) - row.bit_count()
 
 
+def _grams(tokens: list[str], n: int) -> Counter:
+    return Counter(zip(*[tokens[k:] for k in range(n)]))
+
+
 def pair_metrics(df: DataFrame, reference: str, candidate: str) -> DataFrame:
-    """Columns r1, r2, rl and the counters of BLEU; rows without tokens on either side go (Q33)."""
+    """Columns r1, r2, rl and the counters of BLEU; rows without tokens on either side go (Q33).
+
+    One Arrow function counts all orders: the overlap of two bags of n-grams takes time by the square of
+    a text in array expressions, and in proportion to it here.
+    """
+
+    @F.pandas_udf("m array<int>, lcs int")
+    def overlap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b):
+            x, y = list(x), list(y)
+            rows.append(([(_grams(x, n) & _grams(y, n)).total() for n in range(1, 5)], _lcs_bits(x, y)))
+        return pd.DataFrame(rows, columns=["m", "lcs"])
+
     t = df.withColumns({"_r": T.word_tokens(reference), "_c": T.word_tokens(candidate)}).filter((F.size("_r") > 0) & (F.size("_c") > 0))
-    grams = {f"_{side}{n}": T.ngrams(f"_{side}", n) for side in "rc" for n in range(1, 5)}
-    t = t.withColumns(grams)
-    t = t.withColumns({f"m{n}": clipped(F.col(f"_r{n}"), F.col(f"_c{n}")) for n in range(1, 5)})
-    t = t.withColumns({f"p{n}": F.size(f"_c{n}") for n in range(1, 5)} | {"ref_len": F.size("_r"), "hyp_len": F.size("_c"), "_lcs": lcs_length("_r", "_c")})
+    t = t.withColumns({"ref_len": F.size("_r"), "hyp_len": F.size("_c"), "_o": overlap("_r", "_c")})
+    t = t.withColumns({f"m{n}": F.col("_o.m")[n - 1] for n in range(1, 5)} | {f"p{n}": F.greatest(F.col("hyp_len") - (n - 1), F.lit(0)) for n in range(1, 5)} | {"_lcs": F.col("_o.lcs")})
     return t.withColumns({
-        "r1": S.f1(F.col("m1"), F.col("p1"), F.size("_r1")), "r2": S.f1(F.col("m2"), F.col("p2"), F.size("_r2")), "rl": S.f1(F.col("_lcs"), F.col("hyp_len"), F.col("ref_len")),
-    }).drop(*grams, "_r", "_c", "_lcs")
+        "r1": S.f1(F.col("m1"), F.col("p1"), F.col("ref_len")), "r2": S.f1(F.col("m2"), F.col("p2"), F.col("ref_len") - 1), "rl": S.f1(F.col("_lcs"), F.col("hyp_len"), F.col("ref_len")),
+    }).drop("_r", "_c", "_o", "_lcs")
 
 
 def bleu(matches: Sequence[Column], possible: Sequence[Column], hyp: Column, ref: Column) -> Column:

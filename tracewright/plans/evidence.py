@@ -10,6 +10,7 @@ from tracewright.functions import scores as S
 from tracewright.functions import text as T
 from tracewright.operators.dedupe import latest
 from tracewright.operators.ranking import conditional_top, forced_top
+from tracewright.operators.rewrite import tfidf_cosine
 from tracewright.plans import sqlparts as Q
 from tracewright.session import table
 
@@ -191,21 +192,10 @@ def _annotated(df: DataFrame) -> DataFrame:
         (F.size("mi") > 0).alias("has_identifier"), F.exists("t", lambda x: x.rlike("[/.]")).alias("has_path"), overlap.alias("identifier_overlap"),
         T.issue_refs("m").alias("issue_refs"), F.exists("touched", lambda f: F.lower(f).rlike("/test|^test_")).alias("has_tests"), F.size("touched").alias("files_touched"),
         "add_lines", "del_lines", F.size("dt").alias("diff_tokens"), F.round(bonus, 4).alias("overlap_bonus"),
-        F.least(F.lit(1.0), 0.20 * S.jaccard("t", "ds") + 0.15 * _tfidf_cosine("t", "dt") + 0.10 * bonus).alias("quality"),
+        F.least(F.lit(1.0), 0.20 * S.jaccard("t", "ds") + 0.15 * tfidf_cosine(F.col("t"), F.col("dt")) + 0.10 * bonus).alias("quality"),
     )
 
 
-def _tfidf_cosine(a: str, b: str) -> Column:
-    """M2: over the two texts alone a token weighs 1 if in both, else 1 + ln 1.5."""
-    x, y = F.col(a), F.col(b)
-    both = F.array_intersect(x, y)
-    times = lambda of, t: F.size(F.filter(of, lambda v: v == t)).cast("double")
-    weight = lambda t: F.when(F.array_contains(both, t), 1.0).otherwise(F.lit(1.0) + F.log(F.lit(1.5)))
-    dot = F.aggregate(both, F.lit(0.0), lambda s, t: s + times(x, t) * times(y, t))
-    norm = lambda of: F.sqrt(F.aggregate(F.array_distinct(of), F.lit(0.0), lambda s, t: s + F.pow(times(of, t) * weight(t), F.lit(2.0))))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.coalesce(F.try_divide(dot, norm(x) * norm(y)), F.lit(0.0)))
-
-
 def commit_annotations(spark: SparkSession, d: str) -> DataFrame:
     """The annotations that need no counting of tokens against the diff."""
     a = _annotated(table(spark, d, "commits"))

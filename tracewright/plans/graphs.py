@@ -143,8 +143,8 @@ def linked(spark: SparkSession, d: str) -> DataFrame:
 
 
 LINKED_SQL = r"""WITH m AS (SELECT DISTINCT repo, sha, message FROM commits), l AS (SELECT repo, sha, UNNEST(STRING_SPLIT(message, CHR(10))) AS line FROM m WHERE message IS NOT NULL),
-k AS (SELECT repo, sha, REGEXP_EXTRACT(line, '(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?|related? to|relates to|refs?|references?)\b[:\s]*(.*)', 1) AS rest FROM l),
-r AS (SELECT repo, sha, UNNEST(REGEXP_EXTRACT_ALL(rest, 'https?://[^\s/]+/[\w.-]+/[\w.-]+/issues/\d+|[\w.-]+/[\w.-]+#\d+|#\d+')) AS ref FROM k),
+k AS (SELECT repo, sha, REGEXP_EXTRACT(line, '(?i)\b(?:close[sd]?|fix(?:es|ed)?|resolve[sd]?)\b(.*)', 1) AS rest FROM l),
+r AS (SELECT repo, sha, UNNEST(REGEXP_EXTRACT_ALL(rest, 'https?://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/issues/\d+|[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#\d+|#\d+')) AS ref FROM k),
 f AS (SELECT DISTINCT sha, CASE WHEN REGEXP_MATCHES(ref, '^http') THEN REGEXP_EXTRACT(ref, 'https?://[^/]+/([\w.-]+/[\w.-]+)/', 1) WHEN REGEXP_MATCHES(ref, '^#') THEN repo ELSE REGEXP_EXTRACT(ref, '^(.*)#', 1) END AS issue_repo, TRY_CAST(REGEXP_EXTRACT(ref, '(\d+)$', 1) AS INT) AS issue_number FROM r),
 i AS (SELECT repo, number, MIN(state) AS state FROM issues GROUP BY 1, 2)
 SELECT f.sha, f.issue_repo, f.issue_number, i.state FROM f LEFT JOIN i ON f.issue_repo = i.repo AND f.issue_number = i.number"""

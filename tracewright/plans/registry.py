@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import evidence, graphs, judged, survey, texts
+from tracewright.plans import evidence, graphs, judged, stages, survey, texts
 
-MODULES = (judged, survey, evidence, texts, graphs)
+MODULES = (judged, survey, evidence, texts, graphs, stages)
 
 
 def queries() -> dict:
