@@ -9,7 +9,7 @@ from tracewright.functions import scores as S
 from tracewright.functions import text as T
 from tracewright.operators import lexical as L
 from tracewright.operators import retrieval as R
-from tracewright.session import ensure_checkpoint_dir, table
+from tracewright.session import ensure_checkpoint_dir, spread, table
 
 #: A generated description and the body of its PR; the first version of each counts.
 PAIRS_SQL = """g AS (SELECT generation_id, FIRST(generation_mode) AS generation_mode, FIRST(repo_name) AS repo_name, FIRST(pr_number) AS pr_number, MIN(description) AS c FROM generations GROUP BY 1),
@@ -78,7 +78,7 @@ BM25_SQL = f"WITH {_DEMOS_SQL} SELECT token, df, ROUND(LN(1 + (n - df + 0.5::DOU
 def demos(spark: SparkSession, d: str) -> DataFrame:
     """The three best documents for each document whose id is divisible by 50."""
     ensure_checkpoint_dir(spark)
-    docs = _demos(spark, d).checkpoint()
+    docs = spread(_demos(spark, d), "id").checkpoint()
     return R.top_demos(docs, docs.filter("id % 50 = 0"), 3).select("query", "id", F.round("score", 4).alias("score"), "place")
 
 

@@ -48,3 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = Path(tempfile.mkdtemp(prefix="tracewright-")).as_uri()
     context.setCheckpointDir(named)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the input's own splits would leave half of them idle.
+
+    A large input has more splits than that and is left as it is: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
