@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import bounded_sample
-from tracewright.session import table
+from tracewright.session import spread, table
 
 SAMPLE_ROWS, SAMPLE_SENTENCES, DIMS = 6000, 14_000, 1 << 17
 
@@ -285,7 +285,7 @@ def find_defects(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
                 found += [(key, name, d) for name, a in each if (d := defect_of(a, copies, wanted, model))]
             yield pd.DataFrame(found, columns=["generation_id", "filename", "defect"])
 
-    return kept.mapInPandas(judge, "generation_id long, filename string, defect string").distinct()
+    return spread(kept, "generation_id").mapInPandas(judge, "generation_id long, filename string, defect string").distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

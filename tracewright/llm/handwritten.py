@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.session import ensure_checkpoint_dir, table
+from tracewright.session import ensure_checkpoint_dir, spread, table
 
 K, WINDOW, OWNERS, SHARE, LEAST = 40, 24, 3, 0.5, 4
 
@@ -199,7 +199,7 @@ def mark_files(files: DataFrame, file_id: str = "file_id", repo: str = "repo", p
             yield pd.DataFrame({"file_id": batch["file_id"], "owner": batch["owner"], "kind": kinds, "prints": fingerprints(printed)})
 
     rows = files.select(F.col(file_id).alias("file_id"), F.substring_index(F.col(repo), "/", 1).alias("owner"), F.col(path).alias("path"), F.col(patch).alias("patch"))
-    return rows.mapInPandas(mark, "file_id long, owner string, kind string, prints array<long>")
+    return spread(rows, "file_id").mapInPandas(mark, "file_id long, owner string, kind string, prints array<long>")
 
 
 def find_not_handwritten(files: DataFrame, owners: int = OWNERS, share: float = SHARE, least: int = LEAST) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.session import table
+from tracewright.session import spread, table
 
 _MARKUP = re.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,6};|&#\d{1,5};|[​­﻿]")
 _WORD = re.compile(r"[^\W_]+")
@@ -212,7 +212,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             rows = [(d, i) for d, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]) for x in indexes for i in x.leaks(t)]
             yield pd.DataFrame(rows, columns=[doc_id, item_id]).astype("int64")
 
-    return docs.select(doc_id, text).filter(F.length(text) > 0).mapInPandas(scan, schema).distinct()
+    return spread(docs.select(doc_id, text).filter(F.length(text) > 0), doc_id).mapInPandas(scan, schema).distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

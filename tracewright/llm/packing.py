@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import ensure_checkpoint_dir, table
+from tracewright.session import ensure_checkpoint_dir, spread, table
 
 CAPACITY = 4096
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -54,7 +54,7 @@ def count_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str) -> Dat
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch.iloc[:, 0], "tokens": [len(encode(t)) if t else 0 for t in batch.iloc[:, 1]]})
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(count, "doc_id long, tokens long")
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id").mapInPandas(count, "doc_id long, tokens long")
 
 
 @dataclass

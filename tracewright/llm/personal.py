@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.session import table
+from tracewright.session import spread, table
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 ROUNDS = 6
@@ -344,7 +344,7 @@ def find_items(texts: DataFrame, key: str = "node_id", text: str = "text") -> Da
             rows = [(k, kind, t[a:b]) for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]) for kind, a, b in crf.items(t)]
             yield pd.DataFrame(rows, columns=[key, "kind", "value"])
 
-    return texts.select(key, text).filter(F.length(text) > 0).mapInPandas(find, f"{key} string, kind string, value string").distinct()
+    return spread(texts.select(key, text).filter(F.length(text) > 0), key).mapInPandas(find, f"{key} string, kind string, value string").distinct()
 
 
 def mask_items(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import bounded_sample
-from tracewright.session import table
+from tracewright.session import spread, table
 
 SAMPLE_ROWS, LEAST_WORDS, PAIR_GAP = 4000, 80, 1.0
 #: The end of school year 6 and of year 12.
@@ -176,7 +176,8 @@ def measure_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             rows = [(d, m) for d, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]) if (m := measures(t)) is not None]
             yield pd.DataFrame(rows, columns=["doc_id", "m"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") >= 4 * LEAST_WORDS).mapInPandas(measure, "doc_id long, m array<double>")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") >= 4 * LEAST_WORDS)
+    return spread(texts, "doc_id").mapInPandas(measure, "doc_id long, m array<double>")
 
 
 def reading_levels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
