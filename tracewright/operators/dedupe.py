@@ -44,32 +44,35 @@ def by_source(df: DataFrame, keys: Sequence[str], priority: Column, order: Seque
     return first(df.withColumn("_p", priority), keys, ["_p", *order]).drop("_p")
 
 
-def condense(df: DataFrame, group: Sequence[str], text: str, order: str, ratio: float = 0.9, keep: int = 2) -> DataFrame:
-    """Greedy clusters of similar texts inside a group, in order; the first `keep` of each stay.
-
-    The groups are single PRs, whose summaries fit into a task.
+def _kept(texts: Sequence[str | None], ratio: float, keep: int) -> list[int]:
+    heads: list[str] = []
+    sizes: list[int] = []
+    kept = []
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        at = next((k for k, h in enumerate(heads) if _alike(t, h, ratio)), None)
+        if at is None:
+            heads.append(t)
+            sizes.append(1)
+            kept.append(i)
+        elif sizes[at] < keep:
+            sizes[at] += 1
+            kept.append(i)
+    return kept
+
+
+def condensed(texts: Column, ratio: float = 0.9, keep: int = 2) -> Column:
+    """Places of the texts of an array that stay: greedy clusters in order, the first `keep` of each.
+
+    An array is a single PR's summaries; empty texts go.
     """
-    schema = df.schema
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        heads: list[str] = []
-        sizes: list[int] = []
-        kept = []
-        for i, t in enumerate(rows[text].fillna("").tolist()):
-            if not t:
-                continue
-            at = next((k for k, h in enumerate(heads) if _alike(t, h, ratio)), None)
-            if at is None:
-                heads.append(t)
-                sizes.append(1)
-                kept.append(i)
-            elif sizes[at] < keep:
-                sizes[at] += 1
-                kept.append(i)
-        return rows.iloc[kept]
-
-    return df.groupBy(*group).applyInPandas(pick, schema)
+
+    @F.pandas_udf("array<int>")
+    def places(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: _kept(a, ratio, keep) if a is not None else [])
+
+    return places(texts)
 
 
 def _alike(a: str, b: str, ratio: float) -> bool:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 K1, B = 1.5, 0.75
 #: Queries that go to the executors at a time.
 BLOCK = 256
+#: Documents that a block meets at a time.
+CHUNK = 128
 
 
 def corpus_stats(docs: DataFrame, doc_id: str, tokens: str) -> tuple[DataFrame, DataFrame]:
@@ -57,46 +59,53 @@ def top_demos(docs: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
         sent = spark.sparkContext.broadcast((at_token, weight, there, meta))
 
         def scored(batch: pd.DataFrame, packed: tuple) -> Iterator[tuple]:
-            """(document id, BM25 of each query, base score of each query, excluded queries)."""
+            """For some documents at a time: ids, and by query and document BM25, base score, exclusion."""
             places, w, has, queries_ = packed
-            n_query = has.sum(1)
-            files_q = np.array([q[2] for q in queries_], dtype=float)
-            for doc, scope, tokens, size, files in batch.itertuples(index=False, name=None):
-                hit = np.array([places[t] for t in tokens if t in places], dtype=np.int64)
-                cols, counts = np.unique(hit, return_counts=True)
-                sat = counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(tokens) / avgdl))
-                bm25 = w[:, cols] @ sat
-                inter = has[:, cols].sum(1)
-                union = n_query + len(set(tokens)) - inter
-                jac = np.where((n_query > 0) & (len(tokens) > 0), inter / np.maximum(union, 1), 0.0)
+            n_query = has.sum(1)[:, None]
+            files_q = np.array([q[2] for q in queries_], dtype=float)[:, None]
+            scope_q = np.array([q[1] for q in queries_], dtype=object)[:, None]
+            for at in range(0, len(batch), CHUNK):
+                rows = batch.iloc[at : at + CHUNK]
+                tf = np.zeros((len(places), len(rows)))
+                for j, tokens in enumerate(rows["tokens"]):
+                    np.add.at(tf[:, j], [places[t] for t in tokens if t in places], 1)
+                length = rows["tokens"].map(len).to_numpy(dtype=float)
+                distinct = rows["tokens"].map(lambda t: len(set(t))).to_numpy(dtype=float)
+                size, files = rows["size"].to_numpy(dtype=float), rows["files"].to_numpy(dtype=float)
+                sat = np.where(tf > 0, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl)), 0.0)
+                inter = has @ (tf > 0).astype(np.float32)
+                union = n_query + distinct - inter
+                jac = np.where((n_query > 0) & (length > 0), inter / np.maximum(union, 1), 0.0)
                 size_bonus = 1 - np.minimum(np.abs(n_query - size) / np.maximum(np.maximum(n_query, size), 1), 1)
                 files_bonus = 1 - np.minimum(np.abs(files_q - files) / np.maximum(np.maximum(files_q, files), 1), 1)
-                own = np.array([q[1] == scope for q in queries_])
-                yield doc, bm25, jac + 0.2 * size_bonus + 0.1 * files_bonus, own
+                yield rows["id"].to_numpy(), w @ sat, jac + 0.2 * size_bonus + 0.1 * files_bonus, scope_q == rows["scope"].to_numpy(dtype=object)
 
         def span(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             packed = sent.value
             lo, hi = np.full(len(packed[3]), np.inf), np.full(len(packed[3]), -np.inf)
             for batch in batches:
                 for _, bm25, _, own in scored(batch, packed):
-                    lo, hi = np.where(own, lo, np.minimum(lo, bm25)), np.where(own, hi, np.maximum(hi, bm25))
+                    lo = np.minimum(lo, np.where(own, np.inf, bm25).min(1))
+                    hi = np.maximum(hi, np.where(own, -np.inf, bm25).max(1))
             seen = np.isfinite(lo)
             yield pd.DataFrame({"q": np.flatnonzero(seen), "lo": lo[seen], "hi": hi[seen]})
 
         kept = docs.select("id", "scope", "tokens", "size", "files")
         limits = {r["q"]: (r["lo"], r["hi"]) for r in kept.mapInPandas(span, "q int, lo double, hi double").groupBy("q").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
-        low = np.array([limits.get(i, (0.0, 0.0))[0] for i in range(len(block))])
-        gap = np.array([limits.get(i, (0.0, 0.0))[1] for i in range(len(block))]) - low
+        low = np.array([limits.get(i, (0.0, 0.0))[0] for i in range(len(block))])[:, None]
+        gap = np.array([limits.get(i, (0.0, 0.0))[1] for i in range(len(block))])[:, None] - low
 
         def best(batches: Iterator[pd.DataFrame], sent=sent, low=low, gap=gap) -> Iterator[pd.DataFrame]:
             packed = sent.value
             heaps: list[list] = [[] for _ in packed[3]]
             for batch in batches:
-                for doc, bm25, base, own in scored(batch, packed):
+                for docs_, bm25, base, own in scored(batch, packed):
                     score = np.round(0.5 * base + 0.25 * np.where(gap > 0, (bm25 - low) / np.where(gap > 0, gap, 1), 0.0), 9)
-                    for i in np.flatnonzero(~own):
+                    score[own] = -1.0
+                    floor = np.array([h[0][0] if len(h) == k else -0.5 for h in heaps])[:, None]
+                    for i, j in zip(*np.nonzero(score >= floor)):
                         push = heapq.heappush if len(heaps[i]) < k else heapq.heappushpop
-                        push(heaps[i], (float(score[i]), doc))
+                        push(heaps[i], (float(score[i, j]), int(docs_[j])))
             rows = [(packed[3][i][0], d, s) for i, h in enumerate(heaps) for s, d in h]
             yield pd.DataFrame(rows, columns=["query", "id", "score"])
 

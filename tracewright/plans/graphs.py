@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as T
 from tracewright.operators import chunking as C
 from tracewright.operators import graph as G
-from tracewright.operators.dedupe import by_source, condense, latest, upsert
+from tracewright.operators.dedupe import by_source, condensed, latest, upsert
 from tracewright.plans import sqlparts as Q
 from tracewright.session import table
 
@@ -193,10 +193,10 @@ BATCHES_SQL = "WITH f AS (SELECT DISTINCT repo, pr_number, file_id FROM pr_files
 
 
 def summaries(spark: SparkSession, d: str) -> DataFrame:
-    """Summaries of a generation in order, condensed where they say the same."""
-    g = table(spark, d, "generations").dropDuplicates(["generation_id"])
-    rows = g.select("generation_id", F.posexplode("file_summaries").alias("pos", "s")).select("generation_id", "pos", "s.filename", T.normalize_summary("s.summary").alias("text"))
-    return condense(rows, ["generation_id"], "text", "pos").select("generation_id", "pos", "filename")
+    """Summaries of a generation in order, condensed where they say the same."""
+    g = table(spark, d, "generations").select("generation_id", F.col("file_summaries").alias("s"), F.transform("file_summaries", lambda x: T.normalize_summary(x["summary"])).alias("texts"))
+    kept = g.select("generation_id", "s", F.explode(condensed(F.col("texts"))).alias("pos"))
+    return kept.select("generation_id", "pos", F.col("s")[F.col("pos")]["filename"].alias("filename")).distinct()
 
 
 def summary_diffs(spark: SparkSession, d: str) -> DataFrame:
