@@ -50,7 +50,7 @@ _STOP = {w: [x for x, ws in STOPWORDS.items() if w in ws] for ws in STOPWORDS.va
 _MARKS = {"pl": re.compile("[ąęłśżźćń]"), "pt": re.compile("[ãõ]"), "es": re.compile("[ñ¿¡]"), "de": re.compile("[ßäöü]"), "fr": re.compile("[èêœù]")}
 _FILLER = re.compile(
     r"<!--.*?-->|\[?\b(?:no (?:description|summary|answer|content|text|comment|response)|n/?a|tbd|tba|todo|none|null|nil|undefined|empty|nan|pending|placeholder|lorem ipsum|fixme|wip|to be (?:done|added|written|determined))\b\]?"
-    r"|^[ \t]{0,3}#{1,6} [^\n]*$|^\s*(?:description|summary|key changes|linked issues|answer)\s*:?\s*$|</?[a-z]+/?>|\bnbsp\b",
+    r"|^[ \t]{0,3}#{1,6} [^\n]*$|^\s*(?:description|summary|key changes|linked issues|answer)\s*:?\s*$|</?(?:p|br|hr|div|span|ul|ol|li|b|i|em|strong)\s*/?>|\bnbsp\b",
     re.I | re.M | re.S,
 )
 _LETTER = re.compile(r"[^\W_]")

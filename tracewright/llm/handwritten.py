@@ -82,7 +82,7 @@ def _minified(text: str) -> bool:
     if widest < 150 or len(text) < 200:
         return False
     marks = sum(map(text.count, ";{}(),=:"))
-    return text.count(" ") < 0.06 * len(text) and marks > 0.12 * len(text)
+    return text.count(" ") < 0.09 * len(text) and marks > 0.12 * len(text)
 
 
 def _data(lines: list[str]) -> bool:

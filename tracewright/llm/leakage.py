@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tracewright.session import spread, table
 
-_MARKUP = re.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,6};|&#\d{1,5};|[​­﻿]")
+_INLINE = re.compile(r"</?(?:em|strong|b|i|u|s|a|span|mark|code|sub|sup|font)\b[^<>\n]{0,80}>|[\u200b\u00ad\ufeff]", re.I)
+_MARKUP = re.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,6};|&#\d{1,5};")
 _WORD = re.compile(r"[^\W_]+")
 #: Words of test items in one automaton; larger benchmarks go through in several blocks of items.
 BLOCK_WORDS = 400_000
@@ -36,7 +37,7 @@ LEAD = 16
 def words_of(text: str) -> list[str]:
     """Normalised words: tags and entities out, compatibility forms and marks folded, lower case."""
     if "<" in text or "&" in text or not text.isascii():
-        text = _MARKUP.sub(lambda m: " " if m[0][0] in "<&" else "", text)
+        text = _MARKUP.sub(" ", _INLINE.sub("", text))
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return _WORD.findall(text.lower())

@@ -73,34 +73,32 @@ class Plan:
 
 
 def _best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the configuration of greatest value."""
-    best, last = np.zeros(room + 1), np.full(room + 1, -1)
-    for c in range(int(sizes.min()), room + 1):
-        fits = np.flatnonzero(sizes <= c)
-        gain = best[c - sizes[fits]] + values[fits]
-        j = int(gain.argmax())
-        if gain[j] > best[c - 1] + 1e-12:
-            best[c], last[c] = gain[j], fits[j]
-        else:
-            best[c] = best[c - 1]
+    """Unbounded knapsack: the configuration of greatest value; one layer for each further item."""
+    best, layers = np.zeros(room + 1), []
+    for _ in range(room // int(sizes.min())):
+        fresh, pick = best.copy(), np.full(room + 1, -1)
+        for g, s in enumerate(sizes.tolist()):
+            gain = best[: room + 1 - s] + values[g]
+            better = np.flatnonzero(gain > fresh[s:] + 1e-12)
+            fresh[s + better], pick[s + better] = gain[better], g
+        if (pick < 0).all():
+            break
+        layers.append(pick)
+        best = fresh
     pattern, c = np.zeros(len(sizes)), room
-    while c > 0:
-        if last[c] < 0 or best[c] == best[c - 1]:
-            c -= 1
-            continue
-        pattern[last[c]] += 1
-        c -= int(sizes[last[c]])
+    for pick in reversed(layers):
+        if pick[c] >= 0:
+            pattern[pick[c]] += 1
+            c -= int(sizes[pick[c]])
     return float(best[room]), pattern
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
     """(times, configuration) that covers the demand, by column generation, floor and first fit."""
-    unit = max(1, capacity // 1024)
-    small, room = -(-sizes // unit), capacity // unit
-    basis = np.diag(np.floor(room / small))
+    basis = np.diag(np.floor(capacity / sizes))
     for _ in range(40 * len(sizes)):
         dual = np.linalg.solve(basis.T, np.ones(len(sizes)))
-        value, pattern = _best_pattern(dual, small, room)
+        value, pattern = _best_pattern(dual, sizes, capacity)
         if value <= 1 + 1e-7:
             break
         times, step = np.linalg.solve(basis, demand), np.linalg.solve(basis, pattern)
