@@ -59,12 +59,12 @@ _DENSE = re.compile(r"[A-Za-z0-9+/=]{60}")
 _INSIDE = re.compile(r"[A-Za-z_](\d+)")
 _PLACEHOLDER = re.compile(r"\s*(\[patch not available\])?\s*", re.I)
 _SIGN = re.compile(r"(?m)^(?:@@.*\n?|[+\- ])")
-_NUMBERED = re.compile(r"[A-Za-z_]{2,}_?(\d+)(?![\w.]*\()|[A-Za-z]{2,}_?(\d+)\b|_(\d+)_")
+_NUMBERED = re.compile(r"(?<![A-Za-z_])[A-Za-z_]{2,}_?(\d+)(?![\w.]*\()|(?<![A-Za-z])[A-Za-z]{2,}_?(\d+)\b|_(\d+)_")
 _ROW = re.compile(
     r"""^\s*(?:
-      (?:[-+]?(?:0x[0-9a-f]+|\d[\d.]*(?:e[-+]?\d+)?)[fl]?\s*[,;]?\s*){4,}[\])}]?[,;]?      # numbers in a row
+      [\[({]?\s*(?:[-+]?(?:0x[0-9a-f]++|\d[\d.]*+(?:e[-+]?\d++)?)[fl]?(?:\s*+[,;]\s*+|\s++)){3,}+(?:[-+]?(?:0x[0-9a-f]++|\d[\d.]*+(?:e[-+]?\d++)?)[fl]?)?\s*[\])}]?[,;]?   # numbers in a row
     | [\[{(]\s*(?:(?:"[^"]*"|'[^']*'|\w+)\s*[:=]\s*)?(?:"[^"]*"|'[^']*'|[-+]?\d[\w.]*)\s*,.*[\])}],?;?   # a record
-    | (?:[^\s;|,(){}=]*[;|,\t]){3,}[^;|(){}=]*                                            # delimited fields
+    | (?:[^\s;|,(){}=]*+[;|,\t]){3,}+[^;|(){}=]*+                                         # delimited fields
     | .*["'`][A-Za-z0-9+/=\\]{60,}["'`]?.*
     | [+"']?\s*["']?[A-Za-z0-9+/=]{60,}["']?[,;+\\)]*
     )\s*$""",

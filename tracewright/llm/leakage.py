@@ -110,17 +110,28 @@ class LeakIndex:
             self.items.append(item)
         self.vocabulary = vocabulary
         self.next, self.link, self.length = auto.next, auto.link, auto.length
-        self.ends: list[list[int]] = [[] for _ in self.length]
-        own = defaultdict(list)
+        # A tour of the link tree: the places of a state are the slice of the tour that its subtree takes.
+        own: dict[int, list[int]] = defaultdict(list)
         state = 0
         for k, token in enumerate(self.text):
             state = self.next[state][token]
             own[state].append(k)
-        for s in sorted(range(len(self.length)), key=lambda s: -self.length[s]):
-            self.ends[s] += own[s]
-            if self.link[s] > 0 and self.length[self.link[s]] >= seed:
-                self.ends[self.link[s]] += self.ends[s]
-        self.places = list(map(len, self.ends))
+        below: list[list[int]] = [[] for _ in self.length]
+        for s in range(1, len(self.length)):
+            below[self.link[s]].append(s)
+        self.tour: list[int] = []
+        self.first, self.last = [0] * len(self.length), [0] * len(self.length)
+        todo = [(0, False)]
+        while todo:
+            s, done = todo.pop()
+            if done:
+                self.last[s] = len(self.tour)
+                continue
+            self.first[s] = len(self.tour)
+            self.tour += own[s]
+            todo.append((s, True))
+            todo += [(c, False) for c in below[s]]
+        self.places = [b - a for a, b in zip(self.first, self.last)]
 
     def leaks(self, text: str) -> list[int]:
         """The items of which the text holds a passage."""
@@ -131,9 +142,12 @@ class LeakIndex:
         runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
 
         def close(state: int, size: int, end: int) -> None:
+            lo = hi = None
             while size >= seed:  # shorter suffixes can stand in further items
-                for place in self.ends[state]:
+                a, b = self.first[state], self.last[state]
+                for place in self.tour[a:b] if lo is None else self.tour[a:lo] + self.tour[hi:b]:
                     runs[place - end].append((end - size + 1, end))
+                lo, hi = a, b
                 state = link[state]
                 size = length[state]
 
@@ -155,11 +169,13 @@ class LeakIndex:
             state, size = (to, size + 1) if to is not None else (0, 0)
         if size >= seed:
             close(state, size, len(ids) - 1)
-        return sorted({self.items[n] for d, spans in runs.items() for n in self._passages(ids, d, spans)})
-
-    def _passages(self, ids: list[int], shift: int, spans: list[tuple[int, int]]) -> set[int]:
-        """Items in which agreeing words on one diagonal make up a passage."""
         found: set[int] = set()
+        for d, spans in runs.items():
+            self._passages(ids, d, spans, found)
+        return sorted({self.items[n] for n in found})
+
+    def _passages(self, ids: list[int], shift: int, spans: list[tuple[int, int]], found: set[int]) -> None:
+        """Adds the items of which agreeing words on one diagonal make up a passage."""
         for a, b in spans:
             n = self.at[a + shift]
             if n in found or n < 0:
@@ -185,7 +201,6 @@ class LeakIndex:
                     lo, hi = (lo - edge, hi) if step < 0 else (lo, hi + edge)
             if hi - lo + 1 >= self.least and same >= self.density * (hi - lo + 1):
                 found.add(n)
-        return found
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -22,6 +22,7 @@ import math
 import random
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -101,9 +102,10 @@ def _context(text: str, a: int, b: int) -> list[str]:
 
 def nodes_of(text: str) -> list[Node]:
     out: list[Node] = []
+    breaks = [m.start() for m in re.finditer("\n", text)]
 
     def add(kind: str, a: int, b: int, *features: str, tokens: frozenset = frozenset()) -> None:
-        out.append(Node(kind, a, b, text[a:b], text.count("\n", 0, a), tokens, [f"{kind}:{f}" for f in ("bias", *features, *_context(text, a, b))]))
+        out.append(Node(kind, a, b, text[a:b], bisect_left(breaks, a), tokens, [f"{kind}:{f}" for f in ("bias", *features, *_context(text, a, b))]))
 
     for m in _EMAIL.finditer(text):
         v, after = m[0], text[m.end() : m.end() + 2]
@@ -210,11 +212,14 @@ class Field:
         if not nodes:
             return []
         sure = self.marginals(nodes, edges_of(nodes))
-        taken: list[tuple[str, int, int]] = []
+        taken: list[tuple[int, int, str]] = []
         for p, n in sorted(zip(sure, nodes), key=lambda x: (KINDS.index(x[1].kind) // 4, -x[0], x[1].start - x[1].end, x[1].start)):
-            if p >= 0.5 and all(n.end <= a or n.start >= b for _, a, b in taken):
-                taken.append((n.kind, n.start, n.end))
-        return sorted(taken, key=lambda x: x[1])
+            if p < 0.5:
+                continue
+            at = bisect_left(taken, (n.start, n.end, n.kind))
+            if (at == 0 or taken[at - 1][1] <= n.start) and (at == len(taken) or taken[at][0] >= n.end):
+                taken.insert(at, (n.start, n.end, n.kind))
+        return [(kind, a, b) for a, b, kind in taken]
 
 
 _FRAMES = """
