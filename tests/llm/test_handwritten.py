@@ -54,5 +54,19 @@ def test_copies_without_a_note(spark):
     assert H.find_not_handwritten(df.limit(0)).count() == 0
 
 
+def test_short_copies_without_a_note(spark):
+    """Copies of which a patch shows too little for four fingerprints, or for one."""
+    rng = random.Random(4)
+    line = lambda: f"    {rng.choice('abcdefgh')}{rng.randrange(900)} = call({rng.choice('uvwxyz')}{rng.randrange(900)}, key) or other"
+    middle, little = [line() for _ in range(4)], [line(), line()]
+    rows = [(i, f"owner{i}/r", f"src/f{i}.py", patch(middle)) for i in range(3)] + [(10 + i, f"owner{i}/r", f"src/g{i}.py", patch(little, " ")) for i in range(3)]
+    rows += [(20 + i, f"owner{i}/r", f"src/h{i}.py", patch(["}", "return"])) for i in range(3)] + [(30 + i, f"owner{i}/r", f"src/k{i}.py", patch([line() for _ in range(2)])) for i in range(3)]
+    rows += [(40 + i, "owner0/r", f"src/m{i}.py", patch([x.upper() + "1" for x in middle])) for i in range(3)]
+    prints, wholes = H.prints_and_wholes([H.shown(r[3]) for r in rows])
+    assert 1 <= len(prints[0]) < H.LEAST and wholes[0] is None and wholes[3] is not None and wholes[6] is None
+    df = spark.createDataFrame(rows, "file_id long, repo string, path string, patch string")
+    assert {tuple(r) for r in H.find_not_handwritten(df).collect()} == {(i, "vendored") for i in (0, 1, 2, 10, 11, 12)}
+
+
 def test_query(spark, sf):
     assert {r["kind"] for r in H.p4_found(spark, sf).collect()} <= {"generated", "minified", "vendored", "data_blob"}

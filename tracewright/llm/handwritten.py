@@ -4,9 +4,12 @@ Copies are found by winnowing. The shown text of a file (signs of the diff, hunk
 aside) becomes a stream of lower-case tokens; every K tokens in a row give a hash, and of every WINDOW
 hashes in a row the least is kept, so that any two files that share K + WINDOW - 1 tokens in a row share
 a fingerprint. A fingerprint that stands in files of OWNERS or more unrelated repositories (by different
-owners) recurs; a file of which at least SHARE of the fingerprints recur is a vendored copy. What one
-patch shows by itself is read beside that: origin notes and generator notes in comments, places kept
-for copies and for tool output, numbered boilerplate, density of text without spaces, literal rows.
+owners) recurs; a file of which at least SHARE of the fingerprints recur is a vendored copy. Of a file with
+fewer than LEAST fingerprints all have to recur. A stream too short to be sure of a shared fingerprint
+(under K + WINDOW - 1 tokens) is a copy if the whole of it stands in OWNERS repositories; under SHORT
+tokens (a brace, a return) a stream says nothing. What one patch shows by itself is read beside that: origin
+notes and generator notes in comments, places kept for copies and for tool output, numbered boilerplate,
+density of text without spaces, literal rows.
 
 Order of kinds where several hold: minified, generated, vendored by note or place, data_blob, vendored by
 fingerprint. Binary and image files and running text (.md, .txt) are no case.
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tracewright.session import ensure_checkpoint_dir, spread, table
 
-K, WINDOW, OWNERS, SHARE, LEAST = 40, 24, 3, 0.5, 4
+K, WINDOW, OWNERS, SHARE, LEAST, SHORT = 20, 12, 3, 0.5, 4, 8
 
 _NO_CASE = re.compile(r"\.(png|jpe?g|gif|ico|svg|pdf|webp|bmp|woff2?|ttf|eot|zip|gz|jar|mp[34]|md|rst|txt|adoc)$", re.I)
 _MIN_PATH = re.compile(r"\.min\.(js|css|mjs)$|[-.](packed|bundle)\.(js|css)$|(^|/)bundle-[0-9a-f]{6,}\.(js|css)$|(^|/)dist/[^/]+\.(js|css)$", re.I)
@@ -147,17 +150,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def fingerprints(texts: list[str], k: int = K, window: int = WINDOW) -> list[np.ndarray]:
     """The winnowed fingerprints of each text; one pass of array operations over all of them."""
+    return prints_and_wholes(texts, k, window)[0]
+
+
+def prints_and_wholes(texts: list[str], k: int = K, window: int = WINDOW) -> tuple[list[np.ndarray], list[int | None]]:
+    """The fingerprints of each text, and the hash of the whole stream where it has SHORT to k + window - 2 tokens."""
     out = [np.zeros(0, dtype=np.int64)] * len(texts)
+    wholes: list[int | None] = [None] * len(texts)
     raw = [t.encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"\n".join(raw), dtype=np.uint8)
     if not len(data):
-        return out
+        return out, wholes
     kind = _CLASS[data]
     first = kind > 0
     first[1:] &= (kind[1:] == 2) | (kind[:-1] != 1)
     starts = np.flatnonzero(first)
-    if len(starts) < k:
-        return out
+    if not len(starts):
+        return out, wholes
     solid = np.flatnonzero(kind)
     number = np.cumsum(first[solid]) - 1
     offset = solid - starts[number]
@@ -165,14 +174,24 @@ def fingerprints(texts: list[str], k: int = K, window: int = WINDOW) -> list[np.
     token = _mix(np.add.reduceat(value, np.flatnonzero(first[solid])))
     ends = np.cumsum([len(r) + 1 for r in raw])
     doc = np.searchsorted(ends, starts, side="right")
+    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    count = np.diff(np.append(begin, len(doc)))
+    short = (count >= SHORT) & (count < k + window - 1)
+    if short.any():
+        place = np.minimum(np.arange(len(doc)) - np.repeat(begin, count), len(_POWER) - 1)
+        stream = _mix(np.add.reduceat(token * _POWER[place], begin) + count.astype(np.uint64))
+        for d, h in zip(doc[begin[short]].tolist(), stream[short].view(np.int64).tolist()):
+            wholes[d] = h
     n = len(token) - k + 1
+    if n < 1:
+        return out, wholes
     gram = np.zeros(n, dtype=np.uint64)
     for j in range(k):
         gram = gram * _Q + token[j : j + n]
     gram, whole = _mix(gram), doc[:n] == doc[k - 1 :]
     gram, doc = gram[whole], doc[:n][whole]
     if not len(gram):
-        return out
+        return out, wholes
     bounds = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
     least = gram.copy()
     span = 1
@@ -185,21 +204,26 @@ def fingerprints(texts: list[str], k: int = K, window: int = WINDOW) -> list[np.
     for a, b in zip(bounds[:-1], bounds[1:]):
         kept = least[a : b - window + 1] if b - a >= window else gram[a:b].min(keepdims=True)
         out[doc[a]] = np.unique(kept[np.concatenate([[True], kept[1:] != kept[:-1]])]).view(np.int64)
-    return out
+    return out, wholes
 
 
 def mark_files(files: DataFrame, file_id: str = "file_id", repo: str = "repo", path: str = "path", patch: str = "patch") -> DataFrame:
-    """(file_id, owner, kind, prints) of each row; kind '-' is no case, null is open. One narrow pass."""
+    """(file_id, owner, kind, prints, whole) of each row; kind '-' is no case, null is open. One narrow pass."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch.columns = ["file_id", "owner", "path", "patch"]
             kinds = [kind_of(p, t) for p, t in zip(batch["path"], batch["patch"])]
             printed = [shown(t) if k in (None, "vendored") and t else "" for k, t in zip(kinds, batch["patch"])]
-            yield pd.DataFrame({"file_id": batch["file_id"], "owner": batch["owner"], "kind": kinds, "prints": fingerprints(printed)})
+            prints, wholes = prints_and_wholes(printed)
+            yield pd.DataFrame({"file_id": batch["file_id"], "owner": batch["owner"], "kind": kinds, "prints": prints, "whole": pd.array(wholes, dtype="Int64")})
 
     rows = files.select(F.col(file_id).alias("file_id"), F.substring_index(F.col(repo), "/", 1).alias("owner"), F.col(path).alias("path"), F.col(patch).alias("patch"))
-    return spread(rows, "file_id").mapInPandas(mark, "file_id long, owner string, kind string, prints array<long>")
+    return spread(rows, "file_id").mapInPandas(mark, "file_id long, owner string, kind string, prints array<long>, whole long")
+
+
+def _recurring(prints: DataFrame, owners: int) -> DataFrame:
+    return prints.select("print", "owner").distinct().groupBy("print").count().filter(F.col("count") >= owners).select("print")
 
 
 def find_not_handwritten(files: DataFrame, owners: int = OWNERS, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -210,11 +234,13 @@ def find_not_handwritten(files: DataFrame, owners: int = OWNERS, share: float =
     """
     ensure_checkpoint_dir(files.sparkSession)
     marked = mark_files(files).checkpoint()
-    prints = marked.select("file_id", "owner", "kind", F.explode("prints").alias("print"))
-    recurring = prints.select("print", "owner").distinct().groupBy("print").count().filter(F.col("count") >= owners).select("print", F.lit(1).alias("recurs"))
-    open_ = marked.filter("kind IS NULL").select("file_id", F.size("prints").alias("n"), F.explode("prints").alias("print")).filter(F.col("n") >= least)
+    recurring = _recurring(marked.select("owner", F.explode("prints").alias("print")), owners).withColumn("recurs", F.lit(1))
+    open_ = marked.filter("kind IS NULL AND whole IS NULL").select("file_id", F.size("prints").alias("n"), F.explode("prints").alias("print"))
     hits = open_.join(recurring, "print").groupBy("file_id").agg(F.countDistinct("print").alias("hits"), F.max("n").alias("n"))
-    copies = hits.filter(F.col("hits") >= share * F.col("n")).select("file_id", F.lit("vendored").alias("kind"))
+    enough = F.when(F.col("n") < least, F.col("n")).otherwise(share * F.col("n"))
+    copies = hits.filter(F.col("hits") >= enough).select("file_id", F.lit("vendored").alias("kind"))
+    whole = marked.filter("whole IS NOT NULL").select("file_id", "owner", "kind", F.col("whole").alias("print"))
+    copies = copies.unionByName(whole.filter("kind IS NULL").join(_recurring(whole, owners), "print").select("file_id", F.lit("vendored").alias("kind")))
     rank = F.when(F.col("kind") == "minified", 0).when(F.col("kind") == "generated", 1).when(F.col("kind") == "vendored", 2).otherwise(3)
     own = marked.filter("kind <> '-'").select("file_id", "kind")
     return own.unionByName(copies).groupBy("file_id").agg(F.min_by("kind", rank).alias("kind"))
