@@ -267,8 +267,17 @@ SELECT *, ROW_NUMBER() OVER (PARTITION BY repo, pr_number ORDER BY score DESC, s
 
 def cleaned_patches(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned, combined and rendered patches of commits, as hashes and lengths."""
+    return _cleaned(spark, d, 200)
+
+
+def whole_patches(spark: SparkSession, d: str) -> DataFrame:
+    """T9, T10, T11 as in the reference, where no patch is capped."""
+    return _cleaned(spark, d, None)
+
+
+def _cleaned(spark: SparkSession, d: str, max_lines: int | None) -> DataFrame:
     return table(spark, d, "commits").select(
-        "sha", F.md5(T.combine_patches("patches", 200)).alias("combined"), F.length(T.render_diff("patches")).alias("rendered_chars"), F.md5(T.render_diff("patches")).alias("rendered")
+        "sha", F.md5(T.combine_patches("patches", max_lines)).alias("combined"), F.length(T.render_diff("patches")).alias("rendered_chars"), F.md5(T.render_diff("patches")).alias("rendered")
     ).distinct()
 
 
@@ -279,6 +288,7 @@ ARRAY_TO_STRING(STRING_SPLIT(ARRAY_TO_STRING([y FOR y IN [ARRAY_TO_STRING({_CLEA
 SUBSTR(ARRAY_TO_STRING(FLATTEN([(CASE WHEN COALESCE(p.filename, '') <> '' THEN ['<FILE> ' || p.filename] ELSE CAST([] AS VARCHAR[]) END) || [{_MARK} FOR x IN {Q.lines('p.patch')} IF NOT {Q._HEAD} AND (STARTS_WITH(x, ' ') OR STARTS_WITH(x, '+') OR STARTS_WITH(x, '-'))]
   FOR p IN COALESCE(patches, [])]), CHR(10)), 1, 40000) AS rendered FROM commits)
 SELECT sha, MD5(combined) AS combined, LENGTH(rendered)::INT AS rendered_chars, MD5(rendered) AS rendered FROM r"""
+WHOLE_SQL = CLEANED_SQL.replace("[1:200]", "")
 
 
 def anchor_words(spark: SparkSession, d: str) -> DataFrame:
@@ -352,6 +362,7 @@ QUERIES = {
     "M6_message_quality": (message_quality, MESSAGE_QUALITY_SQL),
     "M12_R2_commit_scores": (commit_scores, COMMIT_SCORES_SQL),
     "T9_T11_patches": (cleaned_patches, CLEANED_SQL),
+    "T9_T11_whole_patches": (whole_patches, WHOLE_SQL),
     "T19_anchors": (anchor_words, ANCHORS_SQL),
     "T20_A24_anchor_terms": (anchor_term_counts, ANCHOR_TERMS_SQL),
     "T8_T18_T21_T23_T31_messages": (messages, MESSAGES_SQL),
