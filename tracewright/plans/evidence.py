@@ -118,10 +118,10 @@ def _by_score(order: str = "file_id") -> list[Column]:
     return [F.round("score", 6).desc(), F.col(order)]
 
 
-def top_files(spark: SparkSession, d: str) -> DataFrame:
-    """5 files of each PR: those with a changed declaration first in their order, then by score."""
+def top_files(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    """K files of each PR: those with a changed declaration first in their order, then by score."""
     rows = _scored(spark, d).filter("reason IS NULL")
-    return forced_top(rows, ["repo", "pr_number"], "api", ["file_id"], _by_score(), 5).select("repo", "pr_number", "file_id", F.col("place").alias("place"))
+    return forced_top(rows, ["repo", "pr_number"], "api", ["file_id"], _by_score(), k).select("repo", "pr_number", "file_id", F.col("place").alias("place"))
 
 
 TOP_FILES_SQL = f"""WITH {SCORED_SQL}
@@ -129,16 +129,32 @@ SELECT repo, pr_number, file_id, ROW_NUMBER() OVER (PARTITION BY repo, pr_number
 FROM scored WHERE reason IS NULL QUALIFY place <= 5"""
 
 
-def conditional_files(spark: SparkSession, d: str) -> DataFrame:
-    """All files of a PR if there are 4 at most, else the best 3, in the order they had."""
+def top_files_25(spark: SparkSession, d: str) -> DataFrame:
+    """R1 with the reference's 25 files."""
+    return top_files(spark, d, 25)
+
+
+TOP_FILES_25_SQL = TOP_FILES_SQL.replace("place <= 5", "place <= 25")
+
+
+def conditional_files(spark: SparkSession, d: str, threshold: int = 4, k: int = 3) -> DataFrame:
+    """All files of a PR if there are `threshold` at most, else the best k, in the order they had."""
     rows = _scored(spark, d).filter("reason IS NULL")
-    return conditional_top(rows, ["repo", "pr_number"], _by_score(), 4, 3).select("repo", "pr_number", "file_id", F.row_number().over(Window.partitionBy("repo", "pr_number").orderBy("file_id")).alias("ord"))
+    return conditional_top(rows, ["repo", "pr_number"], _by_score(), threshold, k).select("repo", "pr_number", "file_id", F.row_number().over(Window.partitionBy("repo", "pr_number").orderBy("file_id")).alias("ord"))
 
 
 CONDITIONAL_SQL = f"""WITH {SCORED_SQL}, r AS (SELECT *, COUNT(*) OVER (PARTITION BY repo, pr_number) AS n, ROW_NUMBER() OVER (PARTITION BY repo, pr_number ORDER BY ROUND(score, 6) DESC, file_id) AS p FROM scored WHERE reason IS NULL)
 SELECT repo, pr_number, file_id, ROW_NUMBER() OVER (PARTITION BY repo, pr_number ORDER BY file_id)::INT AS ord FROM r WHERE n <= 4 OR p <= 3"""
 
 
+def conditional_files_25(spark: SparkSession, d: str) -> DataFrame:
+    """R3, R4 with the reference's numbers for files: all if 15 at most, else the best 25."""
+    return conditional_files(spark, d, 15, 25)
+
+
+CONDITIONAL_25_SQL = CONDITIONAL_SQL.replace("n <= 4 OR p <= 3", "n <= 15 OR p <= 25")
+
+
 def docs_top(spark: SparkSession, d: str) -> DataFrame:
     """The 5 documentation files of a PR with most diff lines, then score."""
     rows = _scored(spark, d).filter("is_docs")
@@ -150,17 +166,25 @@ DOCS_TOP_SQL = f"""WITH {SCORED_SQL} SELECT repo, pr_number, file_id, ROW_NUMBER
 FROM scored WHERE is_docs QUALIFY place <= 5"""
 
 
-def head_cap(spark: SparkSession, d: str) -> DataFrame:
-    """The file list of each PR, capped at 5, and whether it was."""
+def head_cap(spark: SparkSession, d: str, most: int = 5) -> DataFrame:
+    """The file list of each PR, capped, and whether it was."""
     rows = latest(_files(spark, d).select(*FILE_KEYS, "path", "ingested_at"), ["file_id"], ["ingested_at"])
     listed = rows.groupBy("repo", "pr_number").agg(F.array_sort(F.collect_list(F.struct("file_id", "path"))).alias("l"))
-    return listed.select("repo", "pr_number", F.array_join(F.transform(F.slice("l", 1, 5), lambda x: x["path"]), ",").alias("paths"), (F.size("l") > 5).alias("truncated"))
+    return listed.select("repo", "pr_number", F.array_join(F.transform(F.slice("l", 1, most), lambda x: x["path"]), ",").alias("paths"), (F.size("l") > most).alias("truncated"))
 
 
 HEAD_CAP_SQL = f"""WITH {FILES_SQL}, l AS (SELECT repo, pr_number, LIST(path ORDER BY file_id) AS l FROM files GROUP BY 1, 2)
 SELECT repo, pr_number, ARRAY_TO_STRING(l[1:5], ',') AS paths, LEN(l) > 5 AS truncated FROM l"""
 
 
+def head_cap_200(spark: SparkSession, d: str) -> DataFrame:
+    """R13, P3 with the reference's 200 files."""
+    return head_cap(spark, d, 200)
+
+
+HEAD_CAP_200_SQL = HEAD_CAP_SQL.replace("[1:5]", "[1:200]").replace("> 5", "> 200")
+
+
 def _commits(spark: SparkSession, d: str, *extra: Column | str) -> DataFrame:
     return table(spark, d, "commits").select("sha", *extra)
 
@@ -265,6 +289,14 @@ s AS (SELECT c.repo, c.pr_number, c.sha, ROUND(0.65::DOUBLE * COALESCE(impact, 0
 SELECT *, ROW_NUMBER() OVER (PARTITION BY repo, pr_number ORDER BY score DESC, sha)::INT AS place FROM s"""
 
 
+def conditional_commits(spark: SparkSession, d: str) -> DataFrame:
+    """R3 with the reference's numbers for commits: all of a PR if 8 at most, else the 6 best by M12."""
+    return conditional_top(commit_scores(spark, d), ["repo", "pr_number"], [F.col("place")], 8, 6).select("repo", "pr_number", "sha")
+
+
+CONDITIONAL_COMMITS_SQL = f"SELECT repo, pr_number, sha FROM ({COMMIT_SCORES_SQL}) QUALIFY COUNT(*) OVER (PARTITION BY repo, pr_number) <= 8 OR place <= 6"
+
+
 def cleaned_patches(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned, combined and rendered patches of commits, as hashes and lengths."""
     return _cleaned(spark, d, 200)
@@ -355,9 +387,13 @@ QUERIES = {
     "T14_T16_public_symbols": (public_symbols, PUBLIC_SQL),
     "M11_file_scores": (file_scores, FILE_SCORES_SQL),
     "R1_top_files": (top_files, TOP_FILES_SQL),
+    "R1_top_files_25": (top_files_25, TOP_FILES_25_SQL),
     "R3_R4_conditional_top": (conditional_files, CONDITIONAL_SQL),
+    "R3_R4_conditional_top_25": (conditional_files_25, CONDITIONAL_25_SQL),
     "R5_docs_top": (docs_top, DOCS_TOP_SQL),
+    "R3_conditional_commits": (conditional_commits, CONDITIONAL_COMMITS_SQL),
     "R13_P3_head_cap": (head_cap, HEAD_CAP_SQL),
+    "R13_P3_head_cap_200": (head_cap_200, HEAD_CAP_200_SQL),
     "T29_commit_annotations": (commit_annotations, ANNOTATIONS_SQL),
     "M6_message_quality": (message_quality, MESSAGE_QUALITY_SQL),
     "M12_R2_commit_scores": (commit_scores, COMMIT_SCORES_SQL),
