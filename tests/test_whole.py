@@ -2,7 +2,7 @@
 
 import hashlib
 
-from tracewright.plans import registry
+from tracewright.plans import registry, stages
 
 COMMIT = "repo string, pr_number long, sha string, message string, files_touched array<string>, patches array<struct<filename: string, patch: string>>, ingested_at long"
 
@@ -37,3 +37,14 @@ def test_cuts_of_file_and_commit_lists(spark, tmp_path):
     assert listed == {15: (15, False), 16: (16, False), 25: (25, False), 26: (26, False), 200: (200, False), 201: (200, True)}
     kept = {r["sha"] for r in registry.queries()["R3_conditional_commits"](spark, d).collect()}
     assert kept == {f"s8{i:02}" for i in range(8)} | {f"s9{i:02}" for i in range(3, 9)}
+
+
+def test_commits_that_are_rewritten(spark, tmp_path):
+    schema = "repo string, pr_number long, file_id long, path string, patch string, changes long, status string, ingested_at long"
+    d = write(spark, tmp_path, "pr_files", [("o/r", n, n * 100 + i, f"src/f{i:03}.py", "+x = 1", i, "modified", 1) for n in (8, 9) for i in range(9)], schema)
+    long = "\n".join(f"+line_{i} = {i}" for i in range(400)) + "\n+the_end = 1"
+    write(spark, tmp_path, "commits", [commit(f"s{n}{i:02}", [(f"src/f{j:03}.py", long) for j in range(i + 1)], n) for n in (8, 9) for i in range(n)], COMMIT)
+    for name in ("M21_decisions", "J9_merged"):
+        assert {r["sha"] for r in registry.queries()[name](spark, d).filter("reason = 'rank_skip'").collect()} == {"s900", "s901", "s902"}, name
+    prompt = stages._asked(spark, d).filter("sha = 's800'").first()["prompt"]
+    assert prompt.startswith("Write one imperative line") and "Original: Add a parser" in prompt and prompt.endswith("<ADD> the_end = 1")

@@ -26,8 +26,8 @@ def provider_of(name: str) -> Provider:
 
 
 def offline(system: str, user: str) -> str:
-    """A JSON answer that depends on the prompt alone."""
-    words = user.split()
+    """A JSON answer that depends on the prompt alone; its message is made of the last paragraph, where the change stands."""
+    words = user.rsplit("\n\n", 1)[-1].split()
     mark = hashlib.sha256(f"{system}\n{user}".encode()).hexdigest()
     return json.dumps({"message": " ".join(words[:8]) or "empty", "score": int(mark[:2], 16) % 5 + 1, "accept": int(mark[2], 16) % 2 == 0})
 

@@ -10,19 +10,25 @@ from tracewright.operators import providers, rewrite
 from tracewright.operators.ranking import sample_head
 from tracewright.operators.responses import lenient_object, parse_response
 from tracewright.plans import sqlparts as Q
+from tracewright.plans.evidence import conditional_commits
 from tracewright.plans.judged import MODE_STATS_SQL, mode_score_stats
 from tracewright.session import table
 from tracewright.sources.sinks import report_rows
 from tracewright.streaming.ingest import late_counts
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Commits with the prompt over their whole rendered diff; the best by M12 are rewritten, all of a PR if 8 at most, else 6."""
+    keys = ["repo", "pr_number", "sha"]
+    rows = table(spark, d, "commits").groupBy(*keys).agg(F.max_by(F.struct("message", "patches"), "ingested_at").alias("c")).select(*keys, "c.message", "c.patches")
+    chosen = conditional_commits(spark, d).withColumn("ranked", F.lit(True))
+    diff = rows.join(chosen, keys, "left").withColumns({"ranked": F.coalesce("ranked", F.lit(False)), "diff": T.render_diff("patches")}).drop("patches")
+    return diff.withColumn("prompt", providers.rewrite_prompt(F.col("diff"), F.col("message"), F.array().cast("array<struct<message:string,diff:string>>")))
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Commits with the offline provider's candidate; commits beyond the sixth of a PR aren't rewritten."""
-    rows = table(spark, d, "commits").groupBy("repo", "pr_number", "sha").agg(F.max_by(F.struct("message", "patches"), "ingested_at").alias("c")).select("repo", "pr_number", "sha", "c.message", "c.patches")
-    ranked = rows.withColumn("ranked", F.row_number().over(Window.partitionBy("repo", "pr_number").orderBy("sha")) <= 6)
-    diff = ranked.withColumn("diff", T.render_diff("patches")).drop("patches")
-    prompt = diff.withColumn("prompt", F.substring("diff", 1, 1500))
-    answered = providers.call(prompt, "rewrite", "prompt")
+    """Commits with the offline provider's candidate; the prompt has no demonstrations (S4 is left out)."""
+    answered = providers.call(_asked(spark, d), "rewrite", "prompt")
     return answered.withColumn("candidate", T.clean_message_line(lenient_object(F.col("answer"), "message string")["message"])).drop("prompt", "answer")
 
 
