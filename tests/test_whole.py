@@ -48,3 +48,12 @@ def test_commits_that_are_rewritten(spark, tmp_path):
         assert {r["sha"] for r in registry.queries()[name](spark, d).filter("reason = 'rank_skip'").collect()} == {"s900", "s901", "s902"}, name
     prompt = stages._asked(spark, d).filter("sha = 's800'").first()["prompt"]
     assert prompt.startswith("Write one imperative line") and "Original: Add a parser" in prompt and prompt.endswith("<ADD> the_end = 1")
+
+
+def test_commit_evidence(spark, tmp_path):
+    private = lambda n: [("a.py", "\n".join(["+    x = 1"] * n))]
+    rows = [commit(f"a{i:02}", private(2 + i), 15) for i in range(15)] + [commit(f"b{i:02}", private(2 + i), 30) for i in range(28)]
+    rows += [commit("c1", [("a.py", "+def run(x):")], 30), commit("c2", [("README.md", "+x")], 30)]
+    got = registry.queries()["R7_whole_commit_evidence"](spark, write(spark, tmp_path, "commits", rows, COMMIT)).orderBy("pr_number", "place").collect()
+    assert [r["sha"] for r in got if r["pr_number"] == 15] == [f"a{i:02}" for i in range(15)]
+    assert [r["sha"] for r in got if r["pr_number"] == 30] == [f"b{i:02}" for i in range(27, 4, -1)] + ["c2", "c1"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions import paths as P
 from tracewright.functions import text as T
 from tracewright.operators import providers, rewrite
 from tracewright.operators.ranking import sample_head
@@ -97,6 +98,31 @@ EVIDENCE_SQL = f"""WITH c AS (SELECT repo, pr_number, sha, MAX(LEN([f FOR f IN C
 SELECT repo, pr_number, sha, ROW_NUMBER() OVER (PARTITION BY repo, pr_number ORDER BY docs DESC, CASE WHEN docs THEN 0 ELSE -n END, sha)::INT AS place FROM c QUALIFY place <= 5"""
 
 
+def whole_commit_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """R7 as in the reference: all commits of a PR if 15 at most, in their order, else 25: those with documents, those that
+    change public symbols, then the longest; in the end by length. A diff's length counts its first 50 lines."""
+    rows = table(spark, d, "commits").groupBy("repo", "pr_number", "sha").agg(F.max_by(F.coalesce("patches", F.array()), "ingested_at").alias("ps"))
+    lines = F.aggregate("ps", F.lit(0), lambda s, p: s + F.size(T.changed_lines(p["patch"])) + F.when(F.coalesce(p["filename"], F.lit("")) != "", 1).otherwise(0))
+    public = F.exists("ps", lambda p: P.public_symbols(p["filename"], T.added_lines(p["patch"])) + P.public_symbols(p["filename"], T.removed_lines(p["patch"])) > 0)
+    docs = F.exists("ps", lambda p: F.coalesce(P.is_docs(p["filename"]), F.lit(False)))
+    classed = rows.select("repo", "pr_number", "sha", F.when(docs, 0).when(public, 1).otherwise(2).alias("class"), F.least(lines, F.lit(50)).alias("n"))
+    pr = Window.partitionBy("repo", "pr_number")
+    ranked = classed.withColumns({"of": F.count("*").over(pr), "p": F.row_number().over(pr.orderBy("class", F.when(F.col("class") == 2, -F.col("n")), "sha"))})
+    kept = ranked.filter("of <= 15 OR p <= 25")
+    return kept.select("repo", "pr_number", "sha", F.row_number().over(pr.orderBy(F.when(F.col("of") > 15, -F.col("n")), F.when(F.col("of") > 15, F.col("p")), "sha")).alias("place"))
+
+
+_PUBLIC = " + ".join(
+    f"COALESCE(CASE {Q.language('p.filename')} " + " ".join(f"WHEN '{k}' THEN LEN([y FOR y IN {Q.changed('p.patch', sign)} IF REGEXP_MATCHES(y, '{r}')])" for k, r in P.PUBLIC.items()) + " END, 0)" for sign in "+-"
+)
+WHOLE_EVIDENCE_SQL = f"""WITH c AS (SELECT repo, pr_number, sha, COALESCE(patches, []) AS ps FROM commits QUALIFY ROW_NUMBER() OVER (PARTITION BY repo, pr_number, sha ORDER BY ingested_at DESC) = 1),
+k AS (SELECT repo, pr_number, sha, CASE WHEN LEN([1 FOR p IN ps IF COALESCE({Q.is_docs('p.filename')}, FALSE)]) > 0 THEN 0 WHEN COALESCE(LIST_SUM([{_PUBLIC} FOR p IN ps]), 0) > 0 THEN 1 ELSE 2 END AS class,
+  LEAST(50, COALESCE(LIST_SUM([LEN({Q.both('p.patch')}) + CASE WHEN COALESCE(p.filename, '') <> '' THEN 1 ELSE 0 END FOR p IN ps]), 0)) AS n FROM c),
+r AS (SELECT *, COUNT(*) OVER (PARTITION BY repo, pr_number) AS of_, ROW_NUMBER() OVER (PARTITION BY repo, pr_number ORDER BY class, CASE WHEN class = 2 THEN -n END, sha) AS p FROM k),
+f AS (SELECT * FROM r WHERE of_ <= 15 OR p <= 25)
+SELECT repo, pr_number, sha, ROW_NUMBER() OVER (PARTITION BY repo, pr_number ORDER BY CASE WHEN of_ > 15 THEN -n END, CASE WHEN of_ > 15 THEN p END, sha)::INT AS place FROM f"""
+
+
 def sampled(spark: SparkSession, d: str) -> DataFrame:
     """A random sample of ten PRs."""
     return sample_head(table(spark, d, "pull_requests").select("repo", "number").distinct(), 10, 42)
@@ -138,6 +164,7 @@ QUERIES = {
     "A23_rollups": (rollups, ROLLUPS_SQL),
     "K5_T32_report": (report, REPORT_SQL),
     "R7_commit_evidence": (commit_evidence, EVIDENCE_SQL),
+    "R7_whole_commit_evidence": (whole_commit_evidence, WHOLE_EVIDENCE_SQL),
     "R11_sample": (sampled, None),
     "T22_markdown": (markdown, MARKDOWN_SQL),
     "T26_T28_names": (names, NAMES_SQL),
