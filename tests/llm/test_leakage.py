@@ -72,3 +72,17 @@ def test_blocks_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     monkeypatch.setattr(L, "BLOCK_WORDS", 200)
     assert {tuple(r) for r in L.find_leaks(docs, items).collect()} == {(i, i) for i in range(20)}
+
+
+def test_shared_bodies_are_matches():
+    body = text(6, 10, 45)
+    assert L.LeakIndex([(i, text(6, 0, 50)) for i in range(6)]).leaks(text(6, 0, 50)) == list(range(6))
+    quoting = [(i, f"{noise(8)} {body} {noise(8)}") for i in range(6)]
+    assert L.LeakIndex(quoting).leaks(noise(5) + " " + body) == list(range(6))
+
+
+def test_lead_ins_over_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, LEAD), (2, text(5, 0, 30))], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    monkeypatch.setattr(L, "BLOCK_WORDS", 50)
+    assert [tuple(r) for r in L.find_leaks(docs, items).collect()] == [(2, 5)]

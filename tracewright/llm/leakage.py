@@ -4,8 +4,8 @@ The automaton is built over the words of all test items, so that one state stand
 which a word sequence occurs. A document's words run through it once: every position gets the length
 of the longest match that ends there. Maximal matches of at least `seed` words are laid on the item's
 diagonal and joined over changed words; a passage is a leak if at least `least` words long and if
-`density` of its words agree. Lead-ins, which are openings or long word sequences that `shared` or
-more items hold, are left out of the items beforehand.
+`density` of its words agree. Lead-ins, which are openings that `shared` or more different item texts
+have in common, are left out of the items beforehand; what items share further on is matched for each.
 
 Defined cases: null and empty texts leak nothing; text, item and tag case, punctuation, markup and
 spacing don't matter; repeated documents are all reported; equal items are each reported; an empty
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -30,8 +30,8 @@ _MARKUP = re.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,6};|&#\d{1,5};")
 _WORD = re.compile(r"[^\W_]+")
 #: Words of test items in one automaton; larger benchmarks go through in several blocks of items.
 BLOCK_WORDS = 400_000
-#: Words of a sequence that counts as a lead-in wherever many items hold it; at an item's opening 6 do.
-LEAD = 16
+#: Words of the shortest opening that counts as a lead-in.
+LEAD = 6
 
 
 def words_of(text: str) -> list[str]:
@@ -43,6 +43,23 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def lead_lengths(split: Sequence[Sequence[str]], shared: int = 5) -> list[int]:
+    """Of each text, the words of the longest opening that `shared` different texts have in common.
+
+    In sorted order texts with a common opening stand together, so neighbours tell.
+    """
+    known = sorted(set(map(tuple, split)))
+    common = [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(known, known[1:])]
+    longest = dict.fromkeys(known, 0)
+    for at in range(len(known) - shared + 1):
+        run = known[at : at + shared]
+        least = min(common[at : at + shared - 1], default=len(run[0]))
+        if least >= LEAD:
+            for w in run:
+                longest[w] = max(longest[w], least)
+    return [longest[tuple(w)] for w in split]
+
+
 class SuffixAutomaton:
     """A generalised suffix automaton over integer tokens; each item is ended by a token of its own."""
 
@@ -81,26 +98,18 @@ class SuffixAutomaton:
 class LeakIndex:
     """Test items as one automaton, with every place of a state found by walking its link tree."""
 
-    def __init__(self, items: Sequence[tuple[int, str]], least: int = 20, seed: int = 5, density: float = 0.8, shared: int = 5) -> None:
+    def __init__(self, items: Sequence[tuple[int, str]], least: int = 20, seed: int = 5, density: float = 0.8, shared: int = 5, leads: Sequence[int] | None = None) -> None:
         self.least, self.seed, self.density = least, seed, density
         split = [(i, words_of(t or "")) for i, t in items]
-        grams = Counter(g for _, w in split for g in {tuple(w[k : k + LEAD]) for k in range(len(w) - LEAD + 1)})
-        opens = Counter(tuple(w[:k]) for _, w in split for k in range(6, LEAD))
+        leads = lead_lengths([w for _, w in split], shared) if leads is None else leads
         self.items: list[int] = []
         self.text: list[int] = []
         self.at: list[int] = []
         vocabulary: dict[str, int] = {}
         auto, last = SuffixAutomaton(), 0
         for n, (item, w) in enumerate(split):
-            lead = [False] * len(w)
-            for k in range(6, LEAD):
-                if opens[tuple(w[:k])] >= shared:
-                    lead[:k] = [True] * min(k, len(w))
-            for k in range(len(w) - LEAD + 1):
-                if grams[tuple(w[k : k + LEAD])] >= shared:
-                    lead[k : k + LEAD] = [True] * LEAD
-            for word, common in zip(w, lead):
-                token = -2 - len(self.text) if common else vocabulary.setdefault(word, len(vocabulary))
+            for k, word in enumerate(w):
+                token = -2 - len(self.text) if k < leads[n] else vocabulary.setdefault(word, len(vocabulary))
                 last = auto.extend(last, token, len(self.text))
                 self.text.append(token)
                 self.at.append(n)
@@ -210,9 +219,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """
     spark = docs.sparkSession
     known = sorted((r[0], r[1] or "") for r in items.select(item_id, item_text).distinct().toLocalIterator())
-    blocks: list[list[tuple[int, str]]] = [[]]
+    leads = lead_lengths([words_of(t) for _, t in known])  # over all blocks
+    blocks: list[list[tuple[int, str, int]]] = [[]]
     room = BLOCK_WORDS
-    for item in known:
+    for item in ((*i, n) for i, n in zip(known, leads)):
         size = item[1].count(" ") + 1
         if size > room and blocks[-1]:
             blocks.append([])
@@ -223,7 +233,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     sent = spark.sparkContext.broadcast(blocks)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        indexes = [LeakIndex(b) for b in sent.value]
+        indexes = [LeakIndex([(i, t) for i, t, _ in b], leads=[n for _, _, n in b]) for b in sent.value]
         for batch in batches:
             rows = [(d, i) for d, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]) for x in indexes for i in x.leaks(t)]
             yield pd.DataFrame(rows, columns=[doc_id, item_id]).astype("int64")
