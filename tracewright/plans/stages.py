@@ -57,7 +57,7 @@ ANSWERS_SQL = r"SELECT DISTINCT generation_id, CASE WHEN REGEXP_MATCHES(descript
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Prompt texts of commits and descriptions, as lengths."""
+    """Prompt texts of descriptions, as lengths."""
     rows = table(spark, d, "generations").select("generation_id", providers.judge_prompt(F.coalesce("description", F.lit("")), F.struct("repo_name", "pr_number")).alias("p"))
     return rows.select("generation_id", F.length("p").alias("chars")).distinct()
 
