@@ -49,3 +49,11 @@ def test_frame(spark):
 
 def test_query(spark, sf):
     assert {r["defect"] for r in A.p2_found(spark, sf).collect()} <= {"empty", "refusal", "copied", "other_language", "truncated"}
+
+
+def test_long_refusals():
+    refusal = "I'm sorry, but I can't help with that request."
+    assert A.is_refusal(refusal) and A.is_refusal(" ".join([refusal] * 60))
+    assert not A.is_refusal(" ".join([refusal] + ["The change adds a parser for dates."] * 60))
+    assert not A.is_refusal('{"description": "' + "The parser cannot read dates. The change adds a parser. It is tested. " * 40 + '"}')
+    assert A.is_refusal('{"description": "' + (refusal + " ") * 60 + '"}')

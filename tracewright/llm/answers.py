@@ -17,6 +17,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -84,12 +85,25 @@ def is_empty(text: str | None) -> bool:
     return text is None or not _LETTER.search(_FILLER.sub(" ", re.sub(r"(?m)^\s*(?:```|~~~)\w*\s*$", " ", text)))
 
 
+def _json_text(text: str) -> str:
+    """The strings of a JSON object, a line each; the text itself if it isn't JSON."""
+
+    def strings(x: object) -> list[str]:
+        inner = x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
+        return [x] if isinstance(x, str) else [s for y in inner for s in strings(y)]
+
+    try:
+        return "\n".join(strings(json.loads(text)))
+    except (ValueError, RecursionError):
+        return text
+
+
 def is_refusal(text: str) -> bool:
     """At least half of the sentences, or the only ones beside requests for more, decline the task."""
-    if len(text) > 1500:
-        return False
     if _REFUSAL_JSON.match(text):
-        return True
+        if len(text) <= 1500:
+            return True
+        text = _json_text(text)  # one word says little about a long object
     said = [x for s in _SENTENCE.split(plain(text).strip()) if (x := s.strip()) and _LETTER.search(x)]
     return bool(said) and sum(1 for s in said if _REFUSAL.match(s)) * 2 >= len(said)
 
