@@ -30,8 +30,13 @@ def plain(doc, least=20):
     return out
 
 
+def index_of(items):
+    """The index of items of which every other one opens with LEAD."""
+    return L.LeakIndex(items, leads=[len(L.words_of(LEAD)) if t.startswith(LEAD) else 0 for _, t in items])
+
+
 def test_against_plain_search():
-    index = L.LeakIndex(ITEMS)
+    index = index_of(ITEMS)
     for k in range(150):
         i, j = rng.randrange(20), rng.randrange(20)
         a, n = rng.randrange(0, 30), rng.choice([5, 12, 18, 20, 22, 30])
@@ -40,7 +45,7 @@ def test_against_plain_search():
 
 
 def test_changes_dont_hide_a_passage():
-    index = L.LeakIndex(ITEMS)
+    index = index_of(ITEMS)
     words = text(3, 0, 40).split()
     words[12] = "changed"
     words[27] = "also"
@@ -50,7 +55,7 @@ def test_changes_dont_hide_a_passage():
 
 
 def test_lead_ins_and_quotes():
-    index = L.LeakIndex(ITEMS)
+    index = index_of(ITEMS)
     assert index.leaks(LEAD) == [] and index.leaks(LEAD + " " + noise(30)) == []
     assert index.leaks(text(5, 10, 26)) == []
 
@@ -84,5 +89,48 @@ def test_shared_bodies_are_matches():
 def test_lead_ins_over_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, LEAD), (2, text(5, 0, 30))], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    monkeypatch.setattr(L, "BLOCK_WORDS", 50)
-    assert [tuple(r) for r in L.find_leaks(docs, items).collect()] == [(2, 5)]
+    for words in (50, 2_000, 400_000):
+        monkeypatch.setattr(L, "BLOCK_WORDS", words)
+        assert [tuple(r) for r in L.find_leaks(docs, items).collect()] == [(2, 5)]
+
+
+def test_lead_lengths(spark):
+    items = spark.createDataFrame([*ITEMS, (50, LEAD + " " + ITEMS[1][1]), (51, ITEMS[1][1])], "item_id long, text string")
+    got = {r["item_id"]: r["lead"] for r in L.lead_lengths(items).collect()}
+    n = len(L.words_of(LEAD))
+    assert all(got[i] == (n if i % 2 else 0) for i in range(20)) and got[50] == got[51] == n
+    four = spark.createDataFrame([(i, t) for i, t in ITEMS if i < 8], "item_id long, text string")
+    assert {r["lead"] for r in L.lead_lengths(four).collect()} == {0}
+
+
+def test_positions():
+    for t in ("A <b>wo</b>rd &amp; ﬁne Éa\u0301 x", "plain, words here", "", "İstanbul <p>x</p>ß 1_2"):
+        where, words = L._positions(t), L.words_of(t)
+        assert len(where) == len(words) and all(0 <= a < b <= len(t) for a, b in where)
+    t = "Keep this, <em>then</em> drop these words. And keep"
+    assert L.without_spans(t, [(3, 5)], 0.9)[0] == "Keep this, <em>then</em> . And keep"
+
+
+def test_clean(spark):
+    long_ = noise(60)
+    docs = spark.createDataFrame([(1, text(7, 0, 30)), (2, None), (3, long_ + ", " + text(8, 0, 25) + ". Fin <b>e</b>"), (4, "short")], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for few in (L.FEW_SPANS, 0):
+        L.FEW_SPANS, kept = few, L.FEW_SPANS
+        got = {r["doc_id"]: r for r in L.clean_documents(docs, items).collect()}
+        L.FEW_SPANS = kept
+        assert got[1]["dropped"] and got[1]["text"] is None and got[1]["coverage"] == 1
+        assert got[3]["text"] == long_ + ", . Fin <b>e</b>" and got[3]["removed_words"] == 25 and not got[3]["dropped"]
+        assert got[2]["text"] is None and not got[2]["dropped"] and got[4]["text"] == "short"
+    assert L.clean_documents(docs, items.limit(0)).filter("removed_words > 0").count() == 0
+
+
+def test_three_of_twenty_words_may_change():
+    index = index_of(ITEMS)
+    words = text(3, 0, 40).split()
+    for k in (6, 13, 20, 27, 34):
+        words[k] = "changed"
+    assert index.leaks(" ".join(words)) == [3]
+    for k in (9, 16, 23, 30):
+        words[k] = "changed"
+    assert index.leaks(" ".join(words)) == []

@@ -17,6 +17,7 @@ _QUERIES = {
     "p6_assignment": packing.p6_assignment,
     "p6_use": packing.p6_use,
     "p7_found": leakage.p7_found,
+    "p7_clean": leakage.p7_clean,
     "p8_found": reading.p8_found,
 }
 
