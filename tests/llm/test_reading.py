@@ -3,6 +3,7 @@
 import numpy as np
 
 from tracewright.llm import reading as R
+from tracewright.llm.graded import PASSAGES
 
 EASY = "The dog ran to the big red box. My old list has a bad link. We like the new page and it is fast. "
 MIDDLE = "The parser forwards the duplicate response before the scheduler starts. If a document is invalid, the manager should replace it and keep the default setting. "
@@ -27,12 +28,33 @@ def test_bands(spark):
     assert all(got[i] == ("basic", "intermediate", "advanced")[k] for i, _, k in rows)
 
 
-def test_held_out_pairs():
-    train, test = ([(m, k) for _, t, k in corpus(s) if (m := R.measures(t))] for s in (1, 2))
-    model = R.fit_levels(np.array([m for m, _ in train]))
-    score = model.score(np.array([m for m, _ in test])[:, :-1])
-    pairs = [(i, j) for i in range(len(test)) for j in range(len(test)) if test[i][1] < test[j][1]]
-    assert np.mean([score[i] < score[j] for i, j in pairs]) > 0.99
+def pair_share(score, years):
+    pairs = [(i, j) for i in range(len(years)) for j in range(len(years)) if years[j] - years[i] >= R.PAIR_GAP]
+    return np.mean([score[i] < score[j] for i, j in pairs])
+
+
+def test_held_out_passages():
+    """Every second passage trains; the order of the others, which the ranker never saw, is right."""
+    train, test = R.graded_rows(PASSAGES[::2]), R.graded_rows(PASSAGES[1::2])
+    model = R.fit_levels(*train)
+    assert pair_share(model.score(test[0]), test[1]) > 0.93
+    assert np.mean([R.band(g) == R.band(y) for g, y in zip(model.grade(test[0]), test[1])]) > 0.85
+
+
+def test_the_ranker_decides():
+    """Without what it learned from pairs nothing is told apart; sentence length alone ranks worse."""
+    x, years = R.graded_rows()
+    model = R.fit_levels(x, years)
+    blind = R.fit_levels(x, np.zeros(len(years)))
+    assert not blind.weights.any() and len({R.band(g) for g in blind.grade(x)}) == 1
+    assert pair_share(model.score(x), years) > pair_share(x[:, 0], years)
+
+
+def test_grades_are_no_function_of_the_features():
+    """Passages of one year differ in features; passages alike in length of sentence differ in year."""
+    x, years = R.graded_rows()
+    assert len({tuple(r) for r in x[years == years[0]]}) > 1
+    assert 0.5 < np.corrcoef(x[:, 0], years)[0, 1] < 0.97
 
 
 def test_what_has_no_level():

@@ -1,13 +1,12 @@
 r"""Reading level of English documents, by a pairwise ranker with calibrated scores.
 
 The running prose of a document is what is left without code, logs, tables, headings and markup. Its
-sentences and words give syntax and vocabulary features. A linear ranker learns from graded pairs of
-documents which of two is harder; the grades of the training pairs are the mean of four published grade
-formulas, and only pairs that lie at least PAIR_GAP school years apart are used. Isotonic regression
-turns scores into school years, which give the band.
+sentences and words give syntax and vocabulary features. A linear ranker learns from pairs of graded passages
+(module graded: their school years were set by hand when they were written, so no grade is a function of the
+features) which of two is harder; pairs that lie less than PAIR_GAP years apart are left out. Isotonic
+regression turns scores into school years, which give the band.
 
-The ranker is fitted on at most SAMPLE_ROWS documents (chosen by the hash of the id); features,
-scores and bands cover all documents.
+Nothing is fitted on the corpus: a document is read once, and its level does not depend on the others.
 
 Defined cases: null, empty and short texts, texts mainly in another language and texts with less than
 80 words of prose get no level; the column lang isn't trusted; repeated rows count once; an empty table
@@ -16,8 +15,9 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import bounded_sample
+from tracewright.llm.graded import PASSAGES
 from tracewright.session import spread, table
 
-SAMPLE_ROWS, LEAST_WORDS, PAIR_GAP = 4000, 80, 1.0
+LEAST_WORDS, PAIR_GAP = 80, 1.0
 #: The end of school year 6 and of year 12.
 BASIC, INTERMEDIATE = 7.0, 13.0
 FEATURES = ["words_per_sentence", "syllables_per_word", "letters_per_word", "long_share", "rare_share", "hard_share", "clauses_per_sentence", "commas_per_sentence", "log_longest"]
@@ -85,14 +85,14 @@ def prose(text: str) -> list[str]:
     return [s for b in blocks for s in _END.split(b) if s.count(" ") >= 3]
 
 
-def measures(text: str | None) -> list[float] | None:
-    """The features and the four-formula grade; None without 80 words of prose mainly in English."""
-    if not text or len(text) < 4 * LEAST_WORDS:
+def measures(text: str | None, least: int = LEAST_WORDS) -> list[float] | None:
+    """The features; None without `least` words of prose mainly in English."""
+    if not text or len(text) < 4 * least:
         return None
     found = [(w, s) for s in prose(text) if len(w := _WORD.findall(s)) >= 3]
     words = [x for w, _ in found for x in w]
     n = len(words)
-    if n < LEAST_WORDS:
+    if n < least:
         return None
     low = [x.lower() for x in words]
     english, other = sum(map(_ENGLISH.__contains__, low)), sum(map(_OTHER.__contains__, low))
@@ -107,12 +107,8 @@ def measures(text: str | None) -> list[float] | None:
     syllable, letter, hard = parts.mean(), sizes.mean(), (parts >= 3).mean()
     clauses = sum(map(_CLAUSES.__contains__, low)) / count
     commas = sum(s.count(",") + s.count(";") for _, s in found) / count
-    kincaid = 0.39 * per + 11.8 * syllable - 15.59
-    liau = 5.88 * letter - 29.6 / per - 15.8
-    automated = 4.71 * letter + 0.5 * per - 21.43
-    smog = 1.043 * np.sqrt(30 * hard * per) + 3.1291
     longest = max(len(w) for w, _ in found)
-    return [per, syllable, letter, (sizes >= 7).mean(), (sizes >= 10).mean(), hard, clauses, commas, float(np.log(longest)), (kincaid + liau + automated + smog) / 4]
+    return [per, syllable, letter, (sizes >= 7).mean(), (sizes >= 10).mean(), hard, clauses, commas, float(np.log(longest))]
 
 
 @dataclass
@@ -144,13 +140,26 @@ def isotonic(y: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, n in pools]) if pools else y
 
 
-def fit_levels(rows: np.ndarray, seed: int = 3, pairs: int = 40_000, rounds: int = 300) -> Levels:
+def graded_rows(passages: Sequence[tuple[float, str]] = PASSAGES, parts: int = 6, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Features and years of the passages and of drawn halves of their sentences."""
+    rng = np.random.default_rng(seed)
+    rows, years = [], []
+    for year, text in passages:
+        sentences = _END.split(text)
+        half = max(1, len(sentences) // 2)
+        for k in range(parts + 1):
+            some = sentences if k == 0 else [sentences[i] for i in sorted(rng.choice(len(sentences), half, replace=False))]
+            if (m := measures(" ".join(some), 15)) is not None:
+                rows.append(m)
+                years.append(year)
+    return np.array(rows), np.array(years)
+
+
+def fit_levels(x: np.ndarray, grade: np.ndarray, rounds: int = 300, ridge: float = 0.01) -> Levels:
     """Logistic loss on differences of features of graded pairs, with a ridge; then calibration."""
-    x, grade = rows[:, :-1], rows[:, -1]
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = (x - mean) / scale
-    rng = np.random.default_rng(seed)
-    a, b = rng.integers(0, len(z), (2, pairs))
+    a, b = np.triu_indices(len(z), 1)
     far = np.abs(grade[a] - grade[b]) >= PAIR_GAP
     a, b = a[far], b[far]
     weights = np.zeros(z.shape[1])
@@ -158,42 +167,34 @@ def fit_levels(rows: np.ndarray, seed: int = 3, pairs: int = 40_000, rounds: int
         d = (z[a] - z[b]) * np.sign(grade[a] - grade[b])[:, None]
         for _ in range(rounds):
             p = 1 / (1 + np.exp(np.clip(d @ weights, -30, 30)))
-            weights += 0.5 * (d.T @ p / len(d) - 0.002 * weights)
+            weights += 0.5 * (d.T @ p / len(d) - ridge * weights)
     score = z @ weights
     order = np.argsort(score, kind="stable")
     return Levels(mean, scale, weights, score[order], isotonic(grade[order]))
 
 
-def band(years: float) -> str:
-    return "basic" if years < BASIC else "intermediate" if years < INTERMEDIATE else "advanced"
-
+@functools.cache
+def fitted_levels() -> Levels:
+    return fit_levels(*graded_rows())
 
-def measure_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, m) with the measures of each document that can have a level."""
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(d, m) for d, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]) if (m := measures(t)) is not None]
-            yield pd.DataFrame(rows, columns=["doc_id", "m"])
-
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") >= 4 * LEAST_WORDS)
-    return spread(texts, "doc_id").mapInPandas(measure, "doc_id long, m array<double>")
+def band(years: float) -> str:
+    return "basic" if years < BASIC else "intermediate" if years < INTERMEDIATE else "advanced"
 
 
-def reading_levels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, years, band). The text goes through Python once for the sample and once for all."""
-    sample = bounded_sample(docs, doc_id, sample_rows)
-    fitted = np.array([r["m"] for r in measure_documents(sample, doc_id, text).collect()[:sample_rows]])
-    model = fit_levels(fitted) if len(fitted) else None
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def reading_levels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, years, band) of each document that can have a level; one narrow pass, then a distinct of short rows."""
+    sent = docs.sparkSession.sparkContext.broadcast(fitted_levels())
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                years = sent.value.grade(np.array(batch["m"].tolist())[:, :-1])
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "years": years, "band": list(map(band, years))})
+            rows = [(d, m) for d, t in zip(batch["doc_id"], batch["text"]) if (m := measures(t)) is not None]
+            if rows:
+                years = sent.value.grade(np.array([m for _, m in rows]))
+                yield pd.DataFrame({"doc_id": [d for d, _ in rows], "years": years, "band": list(map(band, years))})
 
-    return measure_documents(docs, doc_id, text).mapInPandas(grade, "doc_id long, years double, band string").distinct()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") >= 4 * LEAST_WORDS)
+    return spread(texts, "doc_id").mapInPandas(grade, "doc_id long, years double, band string").distinct()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
