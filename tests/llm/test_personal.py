@@ -1,7 +1,15 @@
 """Personal items: planted ones, look-alikes, placeholders, skip edges."""
 
+import re
+
+from tracewright.llm import drawn as D
 from tracewright.llm import personal as P
 
+UNCLEAR = [
+    ("Rowan Fielding, again", "Reviewed-by: Rowan Fielding"),
+    ("Amber Falcon gave the hint.", "Signed-off-by: Amber Falcon <amber.falcon@mail.example.org>"),
+]
+
 CASES = {
     "Reviewed-by: Emil A. Perriyemi": {("name", "Emil A. Perriyemi")},
     "Cc: koskenqvarn [at] fernhouse [dot] example": {("email", "koskenqvarn [at] fernhouse [dot] example")},
@@ -27,13 +35,47 @@ def test_cases():
         assert {(k, text[a:b]) for k, a, b in field.items(text)} == want, text
 
 
-def test_a_clear_frame_helps_an_unclear_one():
-    """A skip edge: the name of a trailer is known where nothing else tells it."""
+def test_repeats_flip_an_unclear_place():
+    """Two planted cases that a skip edge decides: without it the unclear place is told wrongly."""
+    field = P.fitted_field()
+    alone = P.Field({k: v for k, v in field.weights.items() if not k.startswith("skip:")}, field.lexicon)
+    for unclear, clear in UNCLEAR:
+        text = f"{unclear}\n\n{clear}"
+        found = lambda crf: [text[a:b] for k, a, b in crf.items(text) if a < len(unclear)]
+        assert found(field) and not found(alone), unclear
+
+
+def test_held_out_frames():
+    """Frames that the fit has not seen, filled with fresh items."""
+    field = P.fitted_field(documents=2500, held_out=2)
+    frames, decoys = D.FRAMES[2::5], D.LOOKALIKES[2::5]
+    hit = gold = found = 0
+    for nodes, y, text in P._examples(field.lexicon, 400, 77, frames, decoys):
+        want, got = {(n.start, n.end) for n, k in zip(nodes, y) if k}, {(a, b) for _, a, b in field.items(text)}
+        hit, gold, found = hit + len(want & got), gold + len(want), found + len(got)
+    assert hit / gold > 0.9 and hit / found > 0.9, (hit / gold, hit / found)
+
+
+def test_names_off_the_lists():
     field = P.fitted_field()
-    odd = "Qorvann Ulbrecht gave the hint.\n\nSigned-off-by: Qorvann Ulbrecht <qorvann.ulbrecht@mail.example.org>"
-    alone = P.Field({k: v for k, v in field.weights.items() if not k.startswith("skip:")})
-    linked = sum(field.marginals(n := P.nodes_of(odd), P.edges_of(n)))
-    assert linked > sum(alone.marginals(n, P.edges_of(n)))
+    for name in ("Gareth Pritchard", "Xochitl Ramirez-Ortega", "Nguyễn Văn An", "Yevgenia Tkachenko", "Bartholomew Quill"):
+        assert name.split()[0].lower() not in P.GIVEN
+        for frame in ("Reviewed-by: {}", "I talked to {} about it.", "{} said that it fails."):
+            text = frame.format(name)
+            assert [text[a:b] for k, a, b in field.items(text) if k == "name"] == [name], text
+    assert [(k, a) for k, a, _ in field.items("Reported-by: 王小明")] == [("name", 13)]
+    assert [k for k, _, _ in field.items("Her NHS number 943 476 5919 was shown, she lives at 22 Acacia Mansions.")] == ["id_number", "address"]
+
+
+def test_no_frame_is_taken_from_the_tables(sf):
+    import duckdb
+
+    con = duckdb.connect()
+    texts = [r[0] for t, c in (("commits", "message"), ("issues", "body"), ("pull_requests", "body")) for r in con.execute(f"SELECT {c} FROM '{sf}/{t}.parquet' WHERE {c} IS NOT NULL").fetchall()]
+    whole = "\n".join(texts)
+    for frame in (*D.FRAMES, *D.LOOKALIKES):
+        for part in re.split(r"\{\w\}|\\n", frame):
+            assert len(part.split()) < 4 or part not in whole, frame
 
 
 def test_placeholders_leave_the_rest():
