@@ -1,6 +1,10 @@
 """Defects of answers on planted cases."""
 
+import random
+import time
+
 from tracewright.llm import answers as A
+from tracewright.llm.common import bounded_sample
 
 PROMPT = "Write a short description of this pull request for reviewers.\n\nTitle: Report duplicate retry in the parser\n\nFiles:\n- a/b.py (modified, +1/-2): restore the hidden record"
 GOOD = [
@@ -57,3 +61,42 @@ def test_long_refusals():
     assert not A.is_refusal(" ".join([refusal] + ["The change adds a parser for dates."] * 60))
     assert not A.is_refusal('{"description": "' + "The parser cannot read dates. The change adds a parser. It is tested. " * 40 + '"}')
     assert A.is_refusal('{"description": "' + (refusal + " ") * 60 + '"}')
+
+
+def test_the_ratio_decides_what_is_copied():
+    """Words of the request in another order have no new word, yet are no copy: only the compression tells."""
+    words = "the parser reads a hidden record before any writer starts and reports each duplicate retry to the queue so that nobody waits for it".split()
+    copies = A.Copies("Title: " + " ".join(words))
+    mixed = words[::-1]
+    assert copies.made_of(" ".join(words)) and not copies.made_of(" ".join(mixed))
+    copies.share = lambda bare: 0.0
+    assert copies.made_of(" ".join(mixed))
+
+
+def test_long_answers_take_time_in_proportion():
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(3000)}" for _ in range(100_000)]
+    began = time.perf_counter()
+    copies = A.Copies(" ".join(words))
+    assert copies.made_of(" ".join(words)) and not copies.made_of(" ".join(rng.sample(words, len(words))))
+    A.is_refusal("I am sorry " + " ".join(words))
+    assert time.perf_counter() - began < 5
+
+
+def test_more_refusals_and_none():
+    for t in ("I am not able to write a description for this change.", "Unfortunately there is nothing I can do here.", "Please provide the diff so that I can summarize it.", "Lo siento, no puedo resumir este cambio.", "Leider kann ich diese Änderung nicht beschreiben.", '{"summary": "Unable to comply."}'):
+        assert A.is_refusal(t), t
+    for t in ("The server now refuses requests without a token.", "Users cannot delete the summary any more.", "The parser is unable to read dates, so this adds one.", "I removed the cache. It did not help.", "Reject content that the filter has not seen."):
+        assert not A.is_refusal(t), t
+
+
+def test_more_languages():
+    for code, t in (("sv", "Tjänsten skriver inte längre tomma rader och den är snabbare."), ("cs", "Služba už nepíše prázdné řádky a je rychlejší, aby se nic neztratilo."), ("tr", "Servis artık boş satır yazmıyor ve bu değişiklik daha hızlı."), ("pl", "Usługa nie zapisuje już pustych wierszy i jest szybsza.")):
+        assert A.language(t) == code, (t, A.language(t))
+
+
+def test_the_sample_does_not_depend_on_partitions(spark):
+    df = spark.range(500).selectExpr("id AS k", "cast(id as string) AS t")
+    some = [sorted(r["k"] for r in bounded_sample(df.repartition(n), "k", 50).collect()) for n in (1, 7)]
+    assert some[0] == some[1] and len(some[0]) == 50
+    assert bounded_sample(df, "k", 1000).count() == 500 and bounded_sample(df.limit(0), "k", 5).count() == 0

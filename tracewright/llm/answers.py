@@ -1,14 +1,16 @@
 r"""Defective answers to requests: empty, refusal, copied, other_language, truncated.
 
-Copies: the answer is compressed with its request as a zstandard dictionary; what shrinks to nearly
-nothing is checked word by word to be made of stretches of the request. Refusals and languages come from
-dictionaries. Whether an answer without an end mark stops early is decided by a terminal-context model:
-a logistic model of whether a sentence can end where it ends, from its last words, its opening and the
-distance to the last comma and conjunction. It is fitted on sentences of the answers themselves; whole
-sentences against their own beginnings.
-
-The model is fitted on at most SAMPLE_ROWS answers (chosen by the hash of the id); everything else
-covers all rows. Order of defects where several hold: as in the first line.
+Copies: the answer is compressed with its request as a zstandard dictionary; an answer that shrinks to nearly
+nothing repeats stretches of the request and is a copy, unless it has a word that the request lacks. Refusals
+and languages come from dictionaries: a sentence declines if it holds a word of inability together with its
+speaker and the task, or an apology. Whether an answer without an end mark stops early is decided by a
+terminal-context model: a logistic model of whether a sentence can end where it ends, from its last words, its
+opening and the distance to the last comma and conjunction. It is fitted on sentences of the answers
+themselves; whole sentences against their own beginnings.
+
+The model is fitted on the answers of at most SAMPLE_ROWS keys (those of least hash); everything else
+covers all rows. Order of defects where several hold: as in the first line. All tests take time in
+proportion to the text.
 
 Defined cases: a null or blank answer is empty; a null or empty array of summaries is no case; a null
 request leaves only the defects that need none; repeated rows count once; an empty table gives an empty
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import bounded_sample
 from tracewright.session import spread, table
 
-SAMPLE_ROWS, SAMPLE_SENTENCES, DIMS = 6000, 14_000, 1 << 17
+SAMPLE_ROWS, DIMS = 6000, 1 << 17
+#: Bytes of a zstandard frame with one repeat in it, and further bytes per byte up to which an answer repeats its request.
+FRAME, REPEATS = 12, 0.25
 
 #: Frequent words of the languages met in requests and answers.
 STOPWORDS = {
@@ -44,30 +48,42 @@ STOPWORDS = {
     "pt": "a o os as e é não com para em um uma de do da dos das no na por que se já cada porque sem mais agora este esta outra depois todas como seu à sua".split(),
     "pl": "i w na z nie się do jest to że dla po przy bo bez już od każdym wszystkich ta ten teraz znów pod przez jak o".split(),
     "it": "il lo la gli le e è non con per in un una di del della che si al ogni perché senza più ora questo questa dopo tutti come da".split(),
+    "sv": "och att det är en ett som inte på av för med till den har kan om när från eller nu också utan alla varje".split(),
+    "da": "og at det er en et som ikke på af for med til den har kan om når fra eller nu også uden alle hver".split(),
+    "cs": "a v na se je že do pro při by bez už od každý všech ta ten teď znovu pod přes jak když nebo jsou již aby".split(),
+    "tr": "ve bir bu için ile de da değil daha her olarak ama sonra önce şimdi gibi kadar olan tüm veya".split(),
+    "fi": "ja on ei että se kun myös tai jos nyt joka kuin mutta ennen jälkeen kaikki ilman niin ovat".split(),
+    "hu": "a az és nem hogy egy is meg már csak mint de ha vagy minden most után előtt nélkül".split(),
+    "ro": "și în la nu este un o de cu pentru că din pe mai sau dacă acum după fără toate".split(),
     "nl": "de het een en is niet met voor op van te dat bij na omdat zonder weer meer nu ook deze geen alle aan door".split(),
 }
 _STOP = {w: [x for x, ws in STOPWORDS.items() if w in ws] for ws in STOPWORDS.values() for w in ws}
 
-_MARKS = {"pl": re.compile("[ąęłśżźćń]"), "pt": re.compile("[ãõ]"), "es": re.compile("[ñ¿¡]"), "de": re.compile("[ßäöü]"), "fr": re.compile("[èêœù]")}
+_MARKS = {"pl": re.compile("[ąęłśżźćń]"), "sv": re.compile("[åä]"), "cs": re.compile("[ěřůčť]"), "tr": re.compile("[ışğ]"), "ro": re.compile("[țșă]"), "hu": re.compile("[őű]"), "pt": re.compile("[ãõ]"), "es": re.compile("[ñ¿¡]"), "de": re.compile("[ßäöü]"), "fr": re.compile("[èêœù]")}
 _FILLER = re.compile(
     r"<!--.*?-->|\[?\b(?:no (?:description|summary|answer|content|text|comment|response)|n/?a|tbd|tba|todo|none|null|nil|undefined|empty|nan|pending|placeholder|lorem ipsum|fixme|wip|to be (?:done|added|written|determined))\b\]?"
     r"|^[ \t]{0,3}#{1,6} [^\n]*$|^\s*(?:description|summary|key changes|linked issues|answer)\s*:?\s*$|</?(?:p|br|hr|div|span|ul|ol|li|b|i|em|strong)\s*/?>|\bnbsp\b",
     re.I | re.M | re.S,
 )
 _LETTER = re.compile(r"[^\W_]")
-_CANT = r"(?:can(?:not|['’]?t| not)|could(?: not|n['’]t)|am not (?:able|permitted|allowed)|['’]m not (?:able|permitted|allowed)|(?:am|['’]m) unable|won['’]t(?: be able)?|will not(?: be able)?|must (?:decline|refuse)|have to (?:decline|refuse)|would (?:rather|prefer) not|['’]d (?:rather|prefer) not|decline|refuse|do not have|don['’]t have|lack|do not feel|don['’]t feel|is not (?:able|permitted|allowed|possible)|not possible for me)"
-_TASK = r"(?:help|assist|writ|summari[sz]|descri|comply|complet|provid|produc|answer|process|generat|access|task|request|content|context|information|comfortable|fulfil|permitted|input|one)"
-_REFUSAL = re.compile(
-    rf"^\W*(?:(?:sorry|unfortunately|regrettably|apologies|i apologi[sz]e|i['’]m sorry|i am sorry|i regret)\b.*?(?:(?:{_CANT}|unable|not able|not possible)\b.*{_TASK}.*|outside of what i\b.*|no (?:summary|description|answer|text)\b.*)"
-    r"|no (?:summary|description|answer|text) can be (?:provided|given|written|produced|made)\b.*"
-    rf"|(?:as an? (?:ai|language model|assistant|large language model)\b.*)|i(?: am|['’]m)?\s?(?:\w+ )?{_CANT}\b.*\b{_TASK}.*|(?:my|our|the) (?:guidelines|polic(?:y|ies)|rules)\b.*\b(?:not|forbids?|prohibits?|prevents?)\b.*|i(?:['’]m| am) (?:afraid|not able|unable)\b.*"
-    r"|the (?:assistant|model)\b.*\b(?:not permitted|not able|unable|cannot|declin|refus)\w*.*|no answer\b.*|<?refused>?|.*\bdeclined the task\b.*|(?:request|response|answer|output|content) (?:was )?(?:declined|refused|blocked|withheld|filtered|removed) by the (?:content |safety )?(?:filter|policy|model|system|assistant)\b.*|(?:this|that) request is outside\b.*|it is not possible for me\b.*"
-    r"|(?:there is |i have )?(?:not enough|insufficient) (?:information|context|detail)\b.*|please (?:share|provide|paste|send)\b.*\b(?:diff|patch|changes?|code|files?)\b.*"
-    r"|(?:could|can|would) you (?:please )?(?:share|provide|paste|send)\b.*|i see nothing to describe.*|i do(?:n['’]t| not) see (?:any|a) (?:diff|patch|changes?)\b.*|happy to help with something else\b.*|(?:skipping|skipped) this one.*"
-    r"|lo siento\b.*|no puedo (?:ayudar|describir|resumir|escribir|procesar)\b.*|es tut mir leid\b.*|(?:leider )?kann ich .*\bnicht\b.*|(?:je suis )?désolée?\b.*|je ne peux pas (?:aider|décrire|résumer|écrire|traiter)\b.*|(?:lamento|desculpe|sinto muito)\b.*|não posso (?:ajudar|descrever|resumir|escrever|processar)\b.*)$",
-    re.I | re.S,
+#: The refusal dictionary: words of regret, of inability, of who speaks, and of the task; then requests for input and offers.
+_REGRET = re.compile(
+    r"\b(?:sorry|apolog(?:y|ies|i[sz]e)|i regret|unfortunately|regrettably|afraid|leider|tut mir leid|entschuldigung|lo siento|lamentablemente|lamento|désolée?|malheureusement|desculpe|sinto muito|infelizmente|mi dispiace|purtroppo|niestety|przepraszam|helaas|tyvärr|bohužel|maalesef|üzgünüm)\b", re.I
+)
+_UNABLE = re.compile(
+    r"\b(?:can(?:not|['’]?t| not)|could(?: not|n['’]t)|un(?:able|willing)|not (?:able|possible|permitted|allowed|comfortable|authori[sz]ed|enough)|won['’]t|will not|impossible|declin\w+|refus\w+|(?:rather|prefer) not(?: to)?|do(?:es)?(?: not|n['’]t) (?:have|feel|see|allow|permit|let)|but not (?:with|for|on)|lack|insufficient|no access|blocked|withheld|filtered|prohibit\w*|forbid\w*|against|prevents? me|skip(?:ping|ped)?|nothing (?:to|i can)|outside(?: of)?|beyond"
+    r"|no (?:summary|description|answer|text|response|content)(?= (?:can|could) be|:| is possible))\b",
+    re.I,
+)
+_UNABLE_OWN = re.compile(r"\b(?:kann ich|ich kann|no puedo|no es posible|je ne peux pas|não (?:posso|consigo)|non posso|nie mogę|kan ik|jag kan inte|nemohu|yapamam|edemem)\b", re.I)
+_SPEAKER = re.compile(r"\b(?:i|i['’](?:m|ve|d|ll)|me|my|our|(?:happy|glad) to|(?:not enough|insufficient) (?:information|context|details?)|as an? (?:ai|assistant|(?:large )?language model)|(?:the|this) (?:assistant|model|system|request|response|answer|one)|(?:content|safety|usage) (?:policy|policies|filter)|guidelines|policy|policies|error|refusal|refused|no (?:summary|description|answer|text|response|content))\b", re.I)
+_BARE = re.compile(r"\W*(?:unable|cannot|can['’]?t|could not|not able|not possible|impossible|insufficient|not enough)\b", re.I)
+_SELF = re.compile(r"\bas an? (?:ai|(?:large )?language model|assistant)\b", re.I)
+_TASK = re.compile(
+    r"\b(?:help\w*|assist\w*|writ\w+|summari[sz]\w+|summary|descri\w+|compl[yi]\w*|complet\w+|provid\w+|produc\w+|answer\w*|process\w*|generat\w+|access|tasks?|requests?|requested|content|context|information|input|diff|patch|this one|fulfil\w*|text|response|hacer|ayudar\w*|describir\w*|resumir\w*|escribir|procesar|helfen|beschreiben|zusammenfass\w+|aider|décrire|résumer|écrire|traiter|ajudar|descrever|escrever|processar|aiutar\w*|descrivere|riassumere)\b", re.I
 )
-_REFUSAL_JSON = re.compile(r'^\s*\{.*(?:unable to comply|could not be (?:generated|produced)|refus|cannot|not permitted|content policy|declined).*\}\s*$', re.I | re.S)
+_ASK = re.compile(r"\b(?:please|could you|can you|would you)\b(?:\W+\w+){0,2}?\W+(?:share|provide|paste|send|attach)\b", re.I)
+_OFFER = re.compile(r"\b(?:happy|glad) to\b|\blet me know\b|\bfeel free\b|\bplease (?:try|contact)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
 _LEAD = re.compile(r"^\s*(?:#{1,6}\s+|>\s?|[-*+•]\s+|\d+[.)]\s+)+")
 _FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
@@ -86,11 +102,13 @@ def is_empty(text: str | None) -> bool:
 
 
 def _json_text(text: str) -> str:
-    """The strings of a JSON object, a line each; the text itself if it isn't JSON."""
+    """The strings of a JSON object, a line each, those of an error marked as such; the text itself if it isn't JSON."""
 
-    def strings(x: object) -> list[str]:
-        inner = x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
-        return [x] if isinstance(x, str) else [s for y in inner for s in strings(y)]
+    def strings(x: object, key: str = "") -> list[str]:
+        if isinstance(x, str):
+            return [f"error: {x}" if key.lower() in ("error", "refusal", "reason") else x]
+        pairs = x.items() if isinstance(x, dict) else ((key, y) for y in x) if isinstance(x, list) else ()
+        return [s for k, y in pairs for s in strings(y, k)]
 
     try:
         return "\n".join(strings(json.loads(text)))
@@ -98,14 +116,24 @@ def _json_text(text: str) -> str:
         return text
 
 
+def _declines(sentence: str) -> bool:
+    regret, own = _REGRET.search(sentence), _UNABLE_OWN.search(sentence)
+    unable = own or _UNABLE.search(sentence)
+    if regret or own:
+        return bool(unable) or len(sentence.split()) <= 4
+    if unable and (_SPEAKER.search(sentence) or _BARE.match(sentence)) and (_TASK.search(sentence) or len(sentence.split()) <= 4):
+        return True
+    return _SELF.search(sentence) is not None or (_ASK.search(sentence) is not None and _TASK.search(sentence) is not None) or len(sentence.split()) <= 2 and unable is not None
+
+
 def is_refusal(text: str) -> bool:
-    """At least half of the sentences, or the only ones beside requests for more, decline the task."""
-    if _REFUSAL_JSON.match(text):
-        if len(text) <= 1500:
-            return True
-        text = _json_text(text)  # one word says little about a long object
+    """At least half of the sentences, those apart that only offer help, decline the task."""
+    if text.lstrip()[:1] == "{":
+        text = _json_text(text)
     said = [x for s in _SENTENCE.split(plain(text).strip()) if (x := s.strip()) and _LETTER.search(x)]
-    return bool(said) and sum(1 for s in said if _REFUSAL.match(s)) * 2 >= len(said)
+    declined = [_declines(s) for s in said]
+    told = sum(1 for s, d in zip(said, declined) if d or not _OFFER.search(s))
+    return sum(declined) * 2 >= told and any(declined)
 
 
 def language(text: str) -> str | None:
@@ -142,25 +170,22 @@ class Copies:
 
     def __init__(self, request: str) -> None:
         words = _words(request)
-        self.text = " " + " ".join(words) + " "
-        self.packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(self.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.words = frozenset(words)
+        self.packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict((" ".join(words) + " ").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def share(self, bare: str) -> float:
+        """Compressed bytes per byte of an answer."""
+        raw = bare.encode("utf-8", "replace")
+        return max(0, len(self.packer.compress(raw)) - FRAME) / len(raw)
 
     def made_of(self, answer: str) -> bool:
+        """The answer repeats the request: it costs next to nothing beside it. An exact check follows: no word is new."""
         bare = _bare(answer)
-        if not bare:
-            return False
-        raw = bare.encode()
-        if len(self.packer.compress(raw)) > 16 + 0.3 * len(raw):
-            return False
-        words, i, runs = bare.split(" "), 0, 0
-        while i < len(words):
-            j = i
-            while j < len(words) and f" {' '.join(words[i : j + 1])} " in self.text:
-                j += 1
-            if j == i:
-                return False
-            runs, i = runs + 1, j
-        return len(words) >= 2 and len(words) >= 3 * runs
+        return bare.count(" ") >= 1 and self.share(bare) <= REPEATS and self.words.issuperset(bare.split(" "))
+
+
+#: Joining words of English; which of them a sentence holds tells what it still lacks.
+JOINING = (",", "and", "or", "but", "so", "because", "since", "if", "when", "while", "before", "after", "until", "unless", "which", "that", "where", "both", "either", "without", "through", "than")
 
 
 @dataclass
@@ -185,7 +210,7 @@ class TerminalModel:
         comma = min(back.index(","), 14) if "," in back else -1
         joined = next((min(k, 9) for k, x in enumerate(back) if x in ("and", "und", "y", "et", "e", "or")), -1)
         head = " ".join(t[:1])
-        body = [x for x in (",", "but", "before", "through", "so", "and", "which", "twice", "without", "lets", "both", "used", "keep") if x in t]
+        body = [x for x in JOINING if x in t]
         raw = [f"0{w[0]}", f"1{w[1]}", f"2{w[2]}", f"3{w[3]}", f"01{w[1]} {w[0]}", f"12{w[2]} {w[1]}", f"123{w[3]} {w[2]} {w[1]}", f"13{w[3]} {w[1]}", f"h1{head} {w[1]}", f"h2{head} {w[2]} {w[1]}", f"n{min(n, 30)}", f"hn{head} {min(n, 30)}", f"c{comma} {joined}", f"hc{head} {comma} {joined}", f"c1{comma} {w[1]}", f"j1{joined} {w[1]} {w[2]}", f"b{head} {' '.join(body)}", f"b1{' '.join(body)} {w[1]}", "bias"]
         return [zlib.crc32(x.encode()) & (DIMS - 1) for x in raw]
 
@@ -201,8 +226,6 @@ def fit_terminal_model(answers: list[str], seed: int = 7, epochs: int = 6) -> Te
         for line in plain(a).split("\n"):
             parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+", line)]
             whole += [p.rstrip(".!? ") for p in parts if p and p[-1] in ".!?" and len(p.split()) > 2]
-        if len(whole) >= SAMPLE_SENTENCES:
-            break
     counts = Counter(t.lower() for s in whole for t in _TOKEN.findall(s))
     model = TerminalModel(np.zeros(DIMS), frozenset(t for t, n in counts.items() if n >= 2))
     rng = np.random.default_rng(seed)
@@ -284,8 +307,9 @@ def request_language(prompt: str) -> str | None:
 def find_defects(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(generation_id, filename, defect) of unusable answers; one narrow pass after the fit."""
     kept = rows.select("generation_id", "prompt", "description", "file_summaries")
-    sample = bounded_sample(kept, "generation_id", sample_rows).select("description", F.transform("file_summaries", lambda x: x["summary"]).alias("parts"))
-    answers = [a for d, parts in sample.collect()[:sample_rows] for a in (d, *(parts or [])) if a]
+    texts = kept.select("generation_id", "description", F.transform("file_summaries", lambda x: x["summary"]).alias("parts"))
+    sample = bounded_sample(texts, "generation_id", sample_rows).select("description", "parts")
+    answers = sorted({a for d, parts in sample.collect() for a in (d, *(parts or [])) if a})
     sent = rows.sparkSession.sparkContext.broadcast(fit_terminal_model(answers))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

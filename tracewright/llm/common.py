@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About `rows` rows, chosen by the hash of the key, for fitting a model; all if there are no more.
+    """The distinct rows of the `rows` keys of least hash, for fitting a model; all if there are no more.
 
-    A filter, so that nothing is sorted or gathered; the caller cuts what it collects to the bound.
+    The keys alone are ranked (each task keeps its first ones); the sample doesn't depend on how rows are laid out.
     """
-    parts = max(1, df.count() // rows)
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == 0)
+    at = F.xxhash64(key)
+    last = df.select(at.alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.filter(at <= F.lit(last)).distinct() if last is not None else df.limit(0)
