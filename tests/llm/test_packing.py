@@ -33,5 +33,16 @@ def test_packing(spark):
     assert max(used.values()) <= K.CAPACITY
     assert sum(used.values()) / (len(used) * K.CAPACITY) > 0.93
     assert len({(r["doc_id"], r["piece"]) for r in got}) == 404 + sum(r["doc_id"] == 402 for r in got) - 1 and sum(r["doc_id"] == 403 for r in got) == 2
-    assert sum(r["tokens"] for r in got if r["doc_id"] == 402) == len(K._encoding(f"{K.TOKENIZER_DIR}/{K.TOKENIZER_FILE}").encode_ordinary("long " * 20_000))
+    assert sum(r["tokens"] for r in got if r["doc_id"] == 402) == len(K._encoding("x", open(f"{K.TOKENIZER_DIR}/{K.TOKENIZER_FILE}", "rb").read()).encode_ordinary("long " * 20_000))
     assert K.pack(df.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(K.TOKENIZER_DIR), reason="no vocabulary files here")
+def test_many_containers_and_few_small_texts(spark, monkeypatch):
+    """Containers alone raise the number of buckets; nothing is lost between buckets."""
+    monkeypatch.setattr(K, "BUCKET_ROWS", 10)
+    df = spark.createDataFrame([(i, "word " * 2600) for i in range(60)] + [(100 + i, "a b") for i in range(3)], "doc_id long, text string")
+    used = {}
+    for r in K.pack(df).collect():
+        used.setdefault(r["container"], []).append(r["tokens"])
+    assert sum(map(len, used.values())) == 63 and max(map(sum, used.values())) <= K.CAPACITY and len(used) <= 63

@@ -16,7 +16,6 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,24 +32,30 @@ TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that belongs to the vocabulary file.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GROUPS = 24
-#: Rows of small texts that one best-fit task takes.
+#: Rows of small texts, or of containers, that one best-fit task takes on average.
 BUCKET_ROWS = 20_000
 
 
-@functools.cache
-def _encoding(path: str):
+_HELD: dict[str, object] = {}
+
+
+def _encoding(name: str, vocabulary: bytes):
+    """The tokenizer of a vocabulary file's text; a worker keeps it."""
     import tiktoken
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    if name not in _HELD:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _HELD[name] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _HELD[name]
 
 
 def count_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str) -> DataFrame:
-    """(doc_id, tokens) with the tokens of the whole text."""
+    """(doc_id, tokens) with the tokens of the whole text. The driver reads the vocabulary file and sends it out."""
+    with open(tokenizer, "rb") as file:
+        sent = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(tokenizer, sent.value).encode_ordinary
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch.iloc[:, 0], "tokens": [len(encode(t)) if t else 0 for t in batch.iloc[:, 1]]})
 
@@ -199,7 +204,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         return pd.Series(p.place(ahead_[tokens.to_numpy()] + nth.to_numpy() + before_.to_numpy()))
 
     large = ranked.select("doc_id", "piece", "tokens", place("tokens", "nth", "before").alias("container"))
-    buckets = 1 + n_small // BUCKET_ROWS
+    buckets = 1 + max(n_small, plan.containers) // BUCKET_ROWS
     room = large.groupBy("container").agg((F.lit(capacity) - F.sum("tokens")).alias("room")).select(F.pmod("container", F.lit(buckets)).alias("bucket"), "container", "room")
     little = items.filter(F.col("tokens") <= small).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     base = plan.containers + (-plan.containers) % buckets
