@@ -50,3 +50,19 @@ def test_query(spark, sf):
     for t in ("pr_files", "commits"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     assert sorted(tuple(r) for r in S.p5_found(spark, sf).collect()) == sorted(con.execute(S.P5_FOUND_SQL).fetchall())
+
+
+def test_no_slivers():
+    """A hunk header far from the midpoint is no place to cut while lines near it are."""
+    text = "@@ -1 +1 @@\n+a\n@@ -9 +9 @@\n" + ("+" + "b" * 58 + "\n") * 350
+    _, cores = S.bisect_text(text)
+    assert min(b - a for a, b, _ in cores) > 1000 and {k for _, _, k in cores[1:]} == {"line"}
+
+
+def test_pieces_give_the_diffs_back(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pr_files", "commits"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert sorted(tuple(r) for r in S.p5_rebuilt(spark, sf).collect()) == sorted(con.execute(S.P5_REBUILT_SQL).fetchall())

@@ -14,6 +14,7 @@ _QUERIES = {
     "p4_found": handwritten.p4_found,
     "p5_found": splitting.p5_found,
     "p5_pieces": splitting.p5_pieces,
+    "p5_rebuilt": splitting.p5_rebuilt,
     "p6_assignment": packing.p6_assignment,
     "p6_use": packing.p6_use,
     "p7_found": leakage.p7_found,
@@ -21,7 +22,7 @@ _QUERIES = {
     "p8_found": reading.p8_found,
 }
 
-_SQL = {"p5_found": splitting.P5_FOUND_SQL}
+_SQL = {"p5_found": splitting.P5_FOUND_SQL, "p5_rebuilt": splitting.P5_REBUILT_SQL}
 
 
 def queries() -> dict:

@@ -1,9 +1,11 @@
 """Splitting oversized items at natural boundaries by recursive bisection.
 
-A span that is longer than limit - overlap is cut at the strongest boundary nearest to its midpoint:
-a hunk header if there is one inside the span, else a line start, else the midpoint itself. The halves
-are treated alike until all fit; then every piece but the first is given the last `overlap` characters
-before it. Lengths are code points.
+A span that is longer than limit - overlap is cut at the strongest boundary in its middle half (a hunk header,
+else a line start), of several the one nearest to the midpoint. Where the middle half has none, the cut is
+made at the nearest boundary of the sort that the whole text can be cut at (hunks if each fits, else lines if
+each fits, else the midpoint itself), so that no piece is a sliver without need. The halves are treated alike
+until all fit; then every piece but the first is given the last `overlap` characters before it. Lengths are
+code points.
 
 Defined cases: null, empty and fitting texts give one piece at most: a null or empty text none, a text
 of at most `limit` characters one piece, which is the text. Repeated rows give repeated pieces. Extra
@@ -55,22 +57,36 @@ def bisect_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[
         lo, hi = todo.pop()
         if hi - lo <= room:
             continue
-        middle = (lo + hi) / 2
-        cut, kind = _nearest(hunks, lo, hi, middle), "hunk"
-        if cut is None:
-            cut, kind = _nearest(lines, lo, hi, middle), "line"
-        if cut is None:
-            cut, kind = (lo + hi) // 2, "char"
+        middle, quarter = (lo + hi) / 2, (hi - lo) / 4
+        near, far = (lo + quarter, hi - quarter), (lo, hi)
+        sorts = [("hunk", hunks, near)] + [("line", lines, near)] * (grain != "hunk") + [("hunk", hunks, far)] * (grain == "hunk") + [("line", lines, far)] * (grain == "line")
+        cut, kind = next(((c, k) for k, marks, (a, b) in sorts if (c := _nearest(marks, a, b, middle)) is not None), ((lo + hi) // 2, "char"))
+        kind = "hunk" if kind == "line" and text.startswith("@@ -", cut) else kind
         cuts[cut] = kind
         todo += [(lo, cut), (cut, hi)]
     starts = sorted(cuts)
     return grain, [(a, b, cuts[a]) for a, b in zip(starts, [*starts[1:], n])]
 
 
+def bisect_items(large: DataFrame, text_col: str, keys: Sequence[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """One row per oversized item, without its text: keys, granularity, starts and kinds of its cuts."""
+    schema = T.StructType([large.schema[k] for k in keys] + [T.StructField("granularity", T.StringType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("kinds", T.ArrayType(T.StringType()))])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for *key, text in batch.itertuples(index=False, name=None):
+                grain, cores = bisect_text(text, limit, overlap)
+                rows.append((*key, grain, [a for a, _, _ in cores], [k for _, _, k in cores]))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return large.select(*keys, F.col(text_col).alias("_text")).mapInPandas(cut, schema)
+
+
 def split_items(df: DataFrame, text_col: str, keys: Sequence[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """One row per piece: keys, granularity, piece_no, start, repeat_chars, cut_at, piece.
 
-    Only rows over the limit reach Python; the rest stay as they are on the JVM side.
+    One pass; a text that fits is its own piece.
     """
     schema = T.StructType(
         [df.schema[k] for k in keys]
@@ -94,18 +110,7 @@ def split_items(df: DataFrame, text_col: str, keys: Sequence[str], limit: int =
                     rows.append((*key, grain, i, a, back, kind, text[a - back : b]))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    kept = df.select(*keys, F.col(text_col).alias("_text"))
-    large = kept.filter(F.length("_text") > limit).mapInPandas(cut, schema)
-    small = kept.filter((F.length("_text") <= limit) & (F.length("_text") > 0)).select(
-        *keys,
-        F.lit("whole").alias("granularity"),
-        F.lit(0).alias("piece_no"),
-        F.lit(0).cast("long").alias("start"),
-        F.lit(0).alias("repeat_chars"),
-        F.lit("start").alias("cut_at"),
-        F.col("_text").alias("piece"),
-    )
-    return large.unionByName(small)
+    return df.select(*keys, F.col(text_col).alias("_text")).filter(F.length("_text") > 0).mapInPandas(cut, schema)
 
 
 def _oversized(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
@@ -120,21 +125,18 @@ def _oversized(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     return files.unionByName(commits).filter(F.length("text") > limit)
 
 
-def _first_copies(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Repeated rows of a table give the same pieces again; each counts once."""
-    return pieces.dropDuplicates([*keys, "piece_no", "piece"])
+KEYS = ["field", "item", "pos"]
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: the diffs of more than 6,000 characters with the boundary at which they can be cut."""
-    pieces = split_items(_oversized(spark, sf_dir, LIMIT), "text", ["field", "item", "pos"])
-    return pieces.filter("piece_no = 0").select("field", "item", "pos", F.col("granularity").alias("boundary")).distinct()
+    return bisect_items(_oversized(spark, sf_dir, LIMIT), "text", KEYS).select(*KEYS, F.col("granularity").alias("boundary")).distinct()
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P5: the pieces themselves."""
-    keys = ["field", "item", "pos"]
-    return _first_copies(split_items(_oversized(spark, sf_dir, LIMIT), "text", keys), keys)
+    """P5: the pieces themselves. Repeated rows of a table count once: oversized texts, and no others, are shuffled by key and hash."""
+    once = _oversized(spark, sf_dir, LIMIT).withColumn("h", F.xxhash64("text")).dropDuplicates([*KEYS, "h"])
+    return split_items(once, "text", KEYS)
 
 
 P5_FOUND_SQL = """
@@ -158,3 +160,23 @@ SELECT field, item, pos,
        CASE WHEN hunks > 1 AND hunk <= 5600 THEN 'hunk' WHEN line <= 5600 THEN 'line' ELSE 'char' END AS boundary
 FROM size
 """
+
+#: Lengths and texts that the pieces of an item must give back, from the tables alone; p5_rebuilt compares.
+P5_REBUILT_SQL = """
+WITH item AS (
+  SELECT 'patch' AS field, CAST(file_id AS VARCHAR) AS item, 0 AS pos, patch AS text FROM pr_files
+  UNION ALL
+  SELECT 'patches', sha, CAST(i - 1 AS INT), patches[i].patch
+  FROM commits, UNNEST(RANGE(1, LEN(patches) + 1)) AS u(i)),
+big AS (SELECT DISTINCT field, item, pos, text FROM item WHERE LENGTH(text) > 6000)
+SELECT field, item, pos, MD5(text) AS digest, CAST(LENGTH(text) AS BIGINT) AS chars, TRUE AS fits, TRUE AS repeats FROM big
+"""
+
+
+def p5_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: each diff put together again from its pieces, whether all pieces fit and whether each repeats the end of the one before."""
+    pieces = F.array_sort(F.collect_list(F.struct("piece_no", "repeat_chars", "piece")))
+    rows = p5_pieces(spark, sf_dir).groupBy(*KEYS).agg(pieces.alias("p"), F.max(F.length("piece")).alias("most"))
+    text = F.array_join(F.transform("p", lambda x: F.substring(x["piece"], x["repeat_chars"] + 1, F.length(x["piece"]))), "")
+    back = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.endswith(F.col("p")[i - 1]["piece"], F.substring(F.col("p")[i]["piece"], F.lit(1), F.col("p")[i]["repeat_chars"])))
+    return rows.select(*KEYS, F.md5(text).alias("digest"), F.length(text).cast("long").alias("chars"), (F.col("most") <= LIMIT).alias("fits"), F.forall(back, lambda x: x).alias("repeats"))
