@@ -68,5 +68,17 @@ def test_short_copies_without_a_note(spark):
     assert {tuple(r) for r in H.find_not_handwritten(df).collect()} == {(i, "vendored") for i in (0, 1, 2, 10, 11, 12)}
 
 
+def test_a_hot_fingerprint_is_broadcast(spark, monkeypatch):
+    """The same answer whether the recurring prints are broadcast or joined; without fingerprints no copy is known."""
+    rng = random.Random(6)
+    body = [f"    {rng.choice('abcdefgh')}{rng.randrange(900)} = call({rng.choice('uvwxyz')}{rng.randrange(900)}, key) or other" for _ in range(30)]
+    rows = [(i, f"owner{i % 9}/r", f"src/f{i}.py", patch(body)) for i in range(150)]
+    df = spark.createDataFrame(rows, "file_id long, repo string, path string, patch string")
+    assert {tuple(r) for r in H.find_not_handwritten(df).collect()} == {(i, "vendored") for i in range(150)}
+    monkeypatch.setattr(H, "HEAVY", 1)
+    assert {tuple(r) for r in H.find_not_handwritten(df).collect()} == {(i, "vendored") for i in range(150)}
+    assert H.find_not_handwritten(df, owners=10).count() == 0
+
+
 def test_query(spark, sf):
     assert {r["kind"] for r in H.p4_found(spark, sf).collect()} <= {"generated", "minified", "vendored", "data_blob"}

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from tracewright.session import ensure_checkpoint_dir, spread, table
 
 K, WINDOW, OWNERS, SHARE, LEAST, SHORT = 20, 12, 3, 0.5, 4, 8
+#: Prints that are broadcast, at most.
+HEAVY = 100_000
 
 _NO_CASE = re.compile(r"\.(png|jpe?g|gif|ico|svg|pdf|webp|bmp|woff2?|ttf|eot|zip|gz|jar|mp[34]|md|rst|txt|adoc)$", re.I)
 _MIN_PATH = re.compile(r"\.min\.(js|css|mjs)$|[-.](packed|bundle)\.(js|css)$|(^|/)bundle-[0-9a-f]{6,}\.(js|css)$|(^|/)dist/[^/]+\.(js|css)$", re.I)
@@ -218,29 +220,35 @@ def mark_files(files: DataFrame, file_id: str = "file_id", repo: str = "repo", p
             prints, wholes = prints_and_wholes(printed)
             yield pd.DataFrame({"file_id": batch["file_id"], "owner": batch["owner"], "kind": kinds, "prints": prints, "whole": pd.array(wholes, dtype="Int64")})
 
-    rows = files.select(F.col(file_id).alias("file_id"), F.substring_index(F.col(repo), "/", 1).alias("owner"), F.col(path).alias("path"), F.col(patch).alias("patch"))
-    return spread(rows, "file_id").mapInPandas(mark, "file_id long, owner string, kind string, prints array<long>, whole long")
+    rows = files.select(F.col(file_id).alias("file_id"), F.xxhash64(F.substring_index(F.col(repo), "/", 1)).alias("owner"), F.col(path).alias("path"), F.col(patch).alias("patch"))
+    return spread(rows, "file_id").mapInPandas(mark, "file_id long, owner long, kind string, prints array<long>, whole long")
 
 
 def _recurring(prints: DataFrame, owners: int) -> DataFrame:
-    return prints.select("print", "owner").distinct().groupBy("print").count().filter(F.col("count") >= owners).select("print")
+    """(print, rows) of the prints that stand in files of `owners` owners; added up by owner before anything is shuffled."""
+    return prints.groupBy("print", "owner").count().groupBy("print").agg(F.count("*").alias("owners"), F.sum("count").alias("rows")).filter(F.col("owners") >= owners).select("print", "rows")
 
 
-def find_not_handwritten(files: DataFrame, owners: int = OWNERS, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(file_id, kind) of the files that nobody wrote by hand.
+def _that_recur(rows: DataFrame, prints: DataFrame, owners: int) -> DataFrame:
+    """The rows whose print recurs. Prints of total / HEAVY rows or more, no more than HEAVY, are broadcast; so none is hot in the join."""
+    recurring = _recurring(prints, owners).checkpoint()
+    bar = max(100, prints.count() // HEAVY)
+    heavy = F.broadcast(recurring.filter(F.col("rows") >= bar).select("print"))
+    light = recurring.filter(F.col("rows") < bar).select("print")
+    return rows.join(heavy, "print", "left_semi").unionByName(rows.join(heavy, "print", "left_anti").join(light, "print", "left_semi"))
+
 
-    A fingerprint is counted with its owners before anything is shuffled; of each file only its
-    fingerprints travel, as numbers.
-    """
+def find_not_handwritten(files: DataFrame, owners: int = OWNERS, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """(file_id, kind) of the files that nobody wrote by hand. Of each file only its fingerprints travel, as numbers."""
     ensure_checkpoint_dir(files.sparkSession)
     marked = mark_files(files).checkpoint()
-    recurring = _recurring(marked.select("owner", F.explode("prints").alias("print")), owners).withColumn("recurs", F.lit(1))
+    prints = marked.select("owner", F.explode("prints").alias("print"))
     open_ = marked.filter("kind IS NULL AND whole IS NULL").select("file_id", F.size("prints").alias("n"), F.explode("prints").alias("print"))
-    hits = open_.join(recurring, "print").groupBy("file_id").agg(F.countDistinct("print").alias("hits"), F.max("n").alias("n"))
+    hits = _that_recur(open_, prints, owners).groupBy("file_id").agg(F.countDistinct("print").alias("hits"), F.max("n").alias("n"))
     enough = F.when(F.col("n") < least, F.col("n")).otherwise(share * F.col("n"))
     copies = hits.filter(F.col("hits") >= enough).select("file_id", F.lit("vendored").alias("kind"))
     whole = marked.filter("whole IS NOT NULL").select("file_id", "owner", "kind", F.col("whole").alias("print"))
-    copies = copies.unionByName(whole.filter("kind IS NULL").join(_recurring(whole, owners), "print").select("file_id", F.lit("vendored").alias("kind")))
+    copies = copies.unionByName(_that_recur(whole.filter("kind IS NULL"), whole, owners).select("file_id", F.lit("vendored").alias("kind")))
     rank = F.when(F.col("kind") == "minified", 0).when(F.col("kind") == "generated", 1).when(F.col("kind") == "vendored", 2).otherwise(3)
     own = marked.filter("kind <> '-'").select("file_id", "kind")
     return own.unionByName(copies).groupBy("file_id").agg(F.min_by("kind", rank).alias("kind"))
