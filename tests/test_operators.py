@@ -10,8 +10,10 @@ from tracewright.operators import chunking as C
 from tracewright.operators import dedupe as D
 from tracewright.operators import graph as G
 from tracewright.operators import ranking as R
-from tracewright.operators import responses, rewrite
+from tracewright.operators import responses, retrieval, rewrite
+from tracewright.operators import verdicts as V
 from tracewright.operators.issues import linked_issues
+from tracewright.operators.ranking import sample_head, sample_per_group
 from tracewright.operators.retrieval import top_demos
 
 
@@ -80,7 +82,9 @@ def test_complete_groups(spark):
 
 def test_linked_issues(spark):
     df = spark.createDataFrame([("o/r", "Closes #1, x/y#2 and https://github.com/p/q/issues/3\nsee #9", 1), ("o/r", None, 2), ("o/r", "prefixes #4", 3)], "repo string, m string, k int")
-    assert {tuple(r) for r in linked_issues(df, "repo", "m", ["k"]).collect()} == {(1, "o/r", 1), (1, "x/y", 2), (1, "p/q", 3)}
+    assert {tuple(r) for r in linked_issues(df, "repo", "m", ["k"]).collect()} == {(1, "closes", "o/r", 1), (1, "closes", "x/y", 2), (1, "closes", "p/q", 3)}
+    loud = spark.createDataFrame([("o/r", "FIXED HTTPS://GitHub.com/p/q/Issues/7", 1)], "repo string, m string, k int")
+    assert [tuple(r) for r in linked_issues(loud, "repo", "m", ["k"]).collect()] == [(1, "fixed", "p/q", 7)]
 
 
 def test_edges_need_both_ends(spark):
@@ -137,3 +141,56 @@ def test_top_demos_against_brute_force(spark):
         lo, hi = min(c[1] for c in cands), max(c[1] for c in cands)
         want = sorted(((round(0.5 * b + 0.25 * ((m - lo) / (hi - lo) if hi > lo else 0), 9), i) for i, m, b in cands), reverse=True)[:2]
         assert [got[q, k + 1] for k in range(2)] == [(i, round(sc, 6)) for sc, i in want]
+
+
+def test_agreement_at_its_edges(spark):
+    same = spark.createDataFrame([("a", "a")] * 3, "l string, r string")
+    assert [tuple(r) for r in A.kappa(same, "l", "r").collect()] == [(3, 1.0, 1.0, 0.0)]
+    both = spark.createDataFrame([("x", "a", "a"), ("x", "b", "b"), ("x", "a", "b"), ("x", "b", "a"), ("y", "a", "b")], "g string, l string, r string")
+    assert {r["g"]: round(r["kappa"], 9) for r in A.kappa(both, "l", "r", ["g"]).collect()} == {"x": 0.0, "y": 0.0}
+    assert A.kappa(same.limit(0), "l", "r").count() == 0
+    ties = spark.createDataFrame([(1, 0.0, 1.0), (1, 0.0, 2.0), (2, 1.0, 1.0), (2, -1.0, 3.0)], "k int, a double, b double")
+    got = {r["k"]: (r["left_ties"], r["tau"]) for r in A.tau_b(ties, ["k"], F.col("a"), F.col("b")).collect()}
+    assert got == {1: (2, 0.0), 2: (0, 0.0)}
+
+
+def test_counts_of_records_without_penalties(spark):
+    df = spark.createDataFrame([("raw", 1, "x"), ("raw", 1, "y"), ("raw", 2, None), ("full", 1, "x")], "mode string, pr int, c string")
+    got = {r["mode"]: (r["n"], r["penalized"], r["total"], r["x"], r["penalized_rate"]) for r in A.category_counts(df, "mode", ["pr"], "c", ["x", "y"]).collect()}
+    assert got == {"raw": (2, 1, 2, 1, 0.5), "full": (1, 1, 1, 1, 1.0), "all": (3, 2, 3, 2, round(2 / 3, 6))}
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(1000).selectExpr("id", "id % 3 AS g")
+    a, b = (sorted(r["id"] for r in sample_head(df.repartition(n), ["id"], 20, 5).collect()) for n in (1, 9))
+    assert a == b and len(set(a)) == 20 and a != sorted(r["id"] for r in sample_head(df, ["id"], 20, 6).collect())
+    assert sample_per_group(df, ["g"], ["id"], 7).groupBy("g").count().filter("count = 7").count() == 3
+
+
+def test_verdicts(spark):
+    said = spark.createDataFrame([(" b) is better",), ("A",), ("neither",), (None,)], "a string")
+    assert [r[0] for r in said.select(V.read_verdict(F.col("a"), True)).collect()] == [True, False, None, None]
+    assert [r[0] for r in spark.createDataFrame([("yes",), ("No.",), ("A",)], "a string").select(V.read_verdict(F.col("a"), False)).collect()] == [True, False, None]
+    batch = spark.createDataFrame([('Well: [{"sha": "x", "accept": true, "winner": "original"}, {"sha": "y"}]', s) for s in ("x", "y", "z")] + [("no", "x"), (None, "x")], "a string, sha string")
+    assert [r[0] for r in batch.select(V.read_batch(F.col("a"), F.col("sha"), False)).collect()] == [True, False, False, False, False]
+    assert [r[0] for r in batch.select(V.read_batch(F.col("a"), F.col("sha"), True, False)).collect()] == [True] * 5
+
+
+def test_demos_of_a_repository_and_with_vectors(spark):
+    rows = [(f"{i:02d}", f"pr{i // 2}", f"r{i % 2}", ["a", "b", f"t{i % 5}"], 3, i % 3, [float(i), 1.0] if i != 3 else None) for i in range(12)]
+    df = spark.createDataFrame(rows, "id string, scope string, within string, tokens array<string>, size int, files int, vector array<float>")
+    q = df.filter("id IN ('00', '05')")
+    inside = top_demos(df.drop("vector"), q.drop("vector"), 20, same=True).collect()
+    assert {(r["query"], r["id"]) for r in inside} == {(a, b) for a, s, w, *_ in rows if a in ("00", "05") for b, s2, w2, *_ in rows if s != s2 and w == w2}
+    plain, vectors = ({(r["query"], r["id"]): r["score"] for r in top_demos(*x, 20).collect()} for x in ((df.drop("vector"), q.drop("vector")), (df, q)))
+    cosine = lambda a, b: (a * b + 1) / (math.sqrt(a * a + 1) * math.sqrt(b * b + 1))
+    assert all(abs(vectors[k] - plain[k] - (0.0 if k[1] == "03" else 0.25 * cosine(int(k[0]), int(k[1])))) < 1e-6 for k in plain)
+    assert top_demos(df, q.limit(0), 2).count() == 0
+
+
+def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"s{i % 7}", [f"t{i % 4}", f"t{i % 9}", "z"], 3, i % 3) for i in range(60)], "id long, scope string, tokens array<string>, size int, files int")
+    whole = sorted(tuple(r) for r in top_demos(df, df.filter("id % 5 = 0"), 3).collect())
+    monkeypatch.setattr(retrieval, "BLOCK", 5)
+    monkeypatch.setattr(retrieval, "BLOCK_TOKENS", 6)
+    assert sorted(tuple(r) for r in top_demos(df, df.filter("id % 5 = 0"), 3).collect()) == whole

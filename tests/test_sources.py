@@ -60,6 +60,9 @@ def test_config(tmp_path):
     assert [m["slug"] for m in modes] == ["raw"]
     assert len(config.normalize_modes([])) == 4
     assert [m["name"] for m in config.active_modes(config.normalize_modes([]), ["full"])] == ["full"]
+    assert [m["name"] for m in config.active_modes(config.normalize_modes([{"name": "My Mode"}]), [" my-MODE ", ""])] == ["My Mode"]
+    assert [m["name"] for m in config.active_modes(config.normalize_modes([]), [" FULL "])] == ["full"]
+    assert config.deep_merge({"a": {"x": 1}}, {"a": 2}, {"a": {"y": 3}}) == {"a": {"y": 3}}
     assert len(config.active_modes(config.normalize_modes([]), ["none"])) == 4
 
 

@@ -58,7 +58,7 @@ def has_keyword(path: Text) -> Column:
 def is_test(path: Text) -> Column:
     """P5: a test directory below the first level, or a test suffix."""
     p = normalized(path)
-    return p.rlike("/(tests?|specs?|__tests__)/") | F.lit(False) | p.rlike(f"({'|'.join(e.replace('.', '[.]') for e in TEST_ENDS)})$")
+    return p.rlike("/(tests?|specs?|__tests__)/") | p.rlike(f"({'|'.join(e.replace('.', '[.]') for e in TEST_ENDS)})$")
 
 
 def is_ci(path: Text) -> Column:

@@ -1,4 +1,4 @@
-"""Text functions as Column expressions; all stay inside code generation. Null in, null out, unless said."""
+"""Text functions as Column expressions; no Python is involved (array functions run outside generated code, all else inside). Null in, null out, unless said."""
 
 from __future__ import annotations
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def greedy_chunks(costs: Column, budget: int, most: int | None = None, base: int = 0) -> Column:
+def greedy_chunks(costs: Column, budget: int, most: int | None = None, base: int = 0, lone: bool = True) -> Column:
     """For an array of costs the chunk number of each; a chunk starts at `base` cost and closes
-    on overflow, with an item that alone fills the budget, or at `most` items."""
+    on overflow, with an item that alone fills the budget (unless `lone` is off), or at `most` items."""
     start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("cost"), F.lit(0).alias("n"), F.lit(True).alias("closed"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, c: Column) -> Column:
@@ -19,7 +19,7 @@ def greedy_chunks(costs: Column, budget: int, most: int | None = None, base: int
         fresh = s["closed"] | (s["cost"] + c > budget) | full
         chunk = F.when(fresh, s["chunk"] + 1).otherwise(s["chunk"])
         cost = F.when(fresh, base + c).otherwise(s["cost"] + c)
-        return F.struct(chunk.alias("chunk"), cost.alias("cost"), F.when(fresh, 1).otherwise(s["n"] + 1).alias("n"), (fresh & (base + c >= budget)).alias("closed"), F.concat(s["out"], F.array(chunk)).alias("out"))
+        return F.struct(chunk.alias("chunk"), cost.alias("cost"), F.when(fresh, 1).otherwise(s["n"] + 1).alias("n"), (fresh & (base + c >= budget) & F.lit(lone)).alias("closed"), F.concat(s["out"], F.array(chunk)).alias("out"))
 
     return F.aggregate(costs, start, step, lambda s: s["out"])
 

@@ -29,9 +29,20 @@ def average_rank(value: Column, group: Sequence[str], descending: bool = False)
     return F.rank().over(w.orderBy(value.desc() if descending else value.asc())) + (F.count("*").over(same) - 1) / 2.0
 
 
-def sample_head(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """A random order, then its head."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def shuffled(keys: Sequence[str], seed: int) -> Column:
+    """A random order of keys that does not depend on how rows are laid out."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+
+
+def sample_head(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """A random order, then its head; each task keeps its own n best, nothing is sorted as a whole."""
+    return df.orderBy(shuffled(keys, seed), *keys).limit(n)
+
+
+def sample_per_group(df: DataFrame, group: Sequence[str], keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """N rows of each group in a random order, with their place."""
+    w = Window.partitionBy(*group).orderBy(shuffled(keys, seed), *keys)
+    return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
 def position(column: Column, order: Sequence[str], unknown: int = 99) -> Column:

@@ -28,7 +28,7 @@ edges AS (SELECT * FROM e WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The edges whose ends are known, each set of attributes once."""
+    """The edges whose ends are known, each set of attributes once."""
     return _graph(spark, d)[1]
 
 
@@ -78,7 +78,7 @@ OWNER_SQL = "SELECT sha, ARG_MAX(repo, (ingested_at, repo, pr_number)) AS repo,
 
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Of each PR its ordered commits, files and issues in one row, keys as text."""
+    """Of each PR its ordered commits, files and issues in one row, keys as text."""
     prs = table(spark, d, "pull_requests").select("repo", F.col("number").alias("pr_number")).distinct()
     gather = lambda t, c, o: table(spark, d, t).groupBy("repo", "pr_number").agg(F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ",").alias(o))
     out = prs
@@ -139,15 +139,15 @@ def linked(spark: SparkSession, d: str) -> DataFrame:
 
     rows = linked_issues(table(spark, d, "commits").select("repo", "sha", "message").distinct(), "repo", "message", ["sha"])
     known = table(spark, d, "issues").groupBy("repo", "number").agg(F.min("state").alias("state"))
-    return rows.join(known, (rows["issue_repo"] == known["repo"]) & (rows["issue_number"] == known["number"]), "left").select("sha", "issue_repo", "issue_number", "state")
+    return rows.join(known, (rows["issue_repo"] == known["repo"]) & (rows["issue_number"] == known["number"]), "left").select("sha", "keyword_used", "issue_repo", "issue_number", "state")
 
 
 LINKED_SQL = r"""WITH m AS (SELECT DISTINCT repo, sha, message FROM commits), l AS (SELECT repo, sha, UNNEST(STRING_SPLIT(message, CHR(10))) AS line FROM m WHERE message IS NOT NULL),
-k AS (SELECT repo, sha, REGEXP_EXTRACT(line, '(?i)\b(?:close[sd]?|fix(?:es|ed)?|resolve[sd]?)\b(.*)', 1) AS rest FROM l),
-r AS (SELECT repo, sha, UNNEST(REGEXP_EXTRACT_ALL(rest, 'https?://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/issues/\d+|[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#\d+|#\d+')) AS ref FROM k),
-f AS (SELECT DISTINCT sha, CASE WHEN REGEXP_MATCHES(ref, '^http') THEN REGEXP_EXTRACT(ref, 'https?://[^/]+/([\w.-]+/[\w.-]+)/', 1) WHEN REGEXP_MATCHES(ref, '^#') THEN repo ELSE REGEXP_EXTRACT(ref, '^(.*)#', 1) END AS issue_repo, TRY_CAST(REGEXP_EXTRACT(ref, '(\d+)$', 1) AS INT) AS issue_number FROM r),
+k AS (SELECT repo, sha, LOWER(REGEXP_EXTRACT(line, '(?i)\b(close[sd]?|fix(?:es|ed)?|resolve[sd]?)\b(.*)', 1)) AS keyword_used, REGEXP_EXTRACT(line, '(?i)\b(close[sd]?|fix(?:es|ed)?|resolve[sd]?)\b(.*)', 2) AS rest FROM l),
+r AS (SELECT repo, sha, keyword_used, UNNEST(REGEXP_EXTRACT_ALL(rest, '(?i)https?://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/issues/\d+|[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#\d+|#\d+')) AS ref FROM k),
+f AS (SELECT DISTINCT sha, keyword_used, CASE WHEN REGEXP_MATCHES(ref, '(?i)^http') THEN REGEXP_EXTRACT(ref, '(?i)https?://[^/]+/([\w.-]+/[\w.-]+)/', 1) WHEN REGEXP_MATCHES(ref, '^#') THEN repo ELSE REGEXP_EXTRACT(ref, '^(.*)#', 1) END AS issue_repo, TRY_CAST(REGEXP_EXTRACT(ref, '(\d+)$', 1) AS INT) AS issue_number FROM r),
 i AS (SELECT repo, number, MIN(state) AS state FROM issues GROUP BY 1, 2)
-SELECT f.sha, f.issue_repo, f.issue_number, i.state FROM f LEFT JOIN i ON f.issue_repo = i.repo AND f.issue_number = i.number"""
+SELECT f.sha, f.keyword_used, f.issue_repo, f.issue_number, i.state FROM f LEFT JOIN i ON f.issue_repo = i.repo AND f.issue_number = i.number"""
 
 
 def _pr_costs(spark: SparkSession, d: str) -> DataFrame:
@@ -175,8 +175,21 @@ CHUNKS_SQL = f"""WITH RECURSIVE {_ITEMS_SQL}, {_fold_sql('', 0, 'fa')}, {_fold_s
 SELECT it.repo, it.pr_number, it.file_id, fa.chunk AS by_lines, fb.chunk AS by_both, fc.chunk AS with_base FROM it JOIN fa USING (repo, pr_number, i) JOIN fb USING (repo, pr_number, i) JOIN fc USING (repo, pr_number, i)"""
 
 
+def shrunk_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Its second pass: in a chunk that with its base still is beyond the budget of 120 lines, every diff is cut to an eighth of the budget."""
+    c = _pr_costs(spark, d)
+    made = c.select("repo", "pr_number", F.explode(F.arrays_zip("ids", "n", C.greedy_chunks(F.col("n"), 120, None, 40, lone=False).alias("chunk"))).alias("z")).select("repo", "pr_number", F.col("z.ids").alias("file_id"), F.col("z.n").alias("n"), F.col("z.chunk").alias("chunk"))
+    over = 40 + F.sum("n").over(Window.partitionBy("repo", "pr_number", "chunk")) > 120
+    return made.select("repo", "pr_number", "file_id", "chunk", F.when(over, F.least("n", F.lit(120 // 8))).otherwise(F.col("n")).alias("kept"))
+
+
+SHRUNK_SQL = f"""WITH RECURSIVE {_ITEMS_SQL}, fo AS (SELECT repo, pr_number, i, n, 0 AS chunk, 40 + n AS cost FROM it WHERE i = 1
+UNION ALL SELECT it.repo, it.pr_number, it.i, it.n, CASE WHEN f.cost + it.n > 120 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.cost + it.n > 120 THEN 40 + it.n ELSE f.cost + it.n END FROM fo f JOIN it ON it.repo = f.repo AND it.pr_number = f.pr_number AND it.i = f.i + 1)
+SELECT it.repo, it.pr_number, it.file_id, chunk, CASE WHEN 40 + SUM(it.n) OVER (PARTITION BY it.repo, it.pr_number, chunk) > 120 THEN LEAST(it.n, 15) ELSE it.n END AS kept FROM it JOIN fo USING (repo, pr_number, i)"""
+
+
 def budget(spark: SparkSession, d: str) -> DataFrame:
-    """How many files of a PR fit a budget of 100 lines; the first always does."""
+    """How many files of a PR fit a budget of 100 lines; the first always does."""
     return _pr_costs(spark, d).select("repo", "pr_number", C.budget_prefix(F.col("n"), 100).alias("kept"), F.size("n").alias("files"))
 
 
@@ -212,7 +225,7 @@ SELECT generation_id, pos, g.path, chars FROM g JOIN f ON g.repo_name = f.repo A
 
 
 def modes_json(spark: SparkSession, d: str) -> DataFrame:
-    """Generation records as JSON with nested modes, read again leniently."""
+    """Generation records as JSON with nested modes, read again leniently."""
     g = table(spark, d, "generations").groupBy("generation_id").agg(F.first("repo_name").alias("repo_name"), F.first("pr_number").alias("pr_number"), F.first("generation_mode").alias("mode"), F.first("duration_seconds").alias("s"))
     cell = F.struct(F.col("generation_id"), F.col("mode"), F.round("s", 2).alias("s"))
     docs = g.groupBy("repo_name", "pr_number").agg(F.concat(F.lit("noise "), F.to_json(F.struct(F.collect_list(cell).alias("modes")))).alias("raw"))
@@ -223,21 +236,22 @@ def modes_json(spark: SparkSession, d: str) -> DataFrame:
 MODES_JSON_SQL = "SELECT ANY_VALUE(repo_name) AS repo_name, ANY_VALUE(pr_number) AS pr_number, generation_id, ANY_VALUE(generation_mode) AS mode, ROUND(ANY_VALUE(duration_seconds), 2) AS seconds FROM generations GROUP BY 3"
 
 QUERIES = {
-    "D5_J1_J4_edges": (graph_edges, f"WITH {EDGES_SQL} SELECT * FROM edges"),
+    "D5_J4_edges": (graph_edges, f"WITH {EDGES_SQL} SELECT * FROM edges"),
     "A26_graph_counts": (graph_counts, COUNTS_SQL),
     "S3_K1_node_link": (node_link, NODE_LINK_SQL),
     "D4_upsert": (pr_upsert, UPSERT_SQL),
     "D6_issue_dedupe": (issue_dedupe, ISSUE_SQL),
     "J6_commit_owner": (commit_owner, OWNER_SQL),
-    "N8_N10_contexts": (contexts, CONTEXTS_SQL),
+    "R12_contexts": (contexts, CONTEXTS_SQL),
     "J5_lookup": (lookup, LOOKUP_SQL),
     "S1_targets": (targets, TARGETS_SQL),
     "S2_T7_ids": (ids, IDS_SQL),
     "T6_W7_linked_issues": (linked, LINKED_SQL),
     "W1_W3_chunks": (chunks, CHUNKS_SQL),
+    "W3_shrunk_chunks": (shrunk_chunks, SHRUNK_SQL),
     "P17_budget": (budget, BUDGET_SQL),
     "W4_batches": (file_batches, BATCHES_SQL),
     "D11_M20_condense": (summaries, None),
     "J7_summary_diffs": (summary_diffs, SUMMARY_DIFFS_SQL),
-    "N2_N5_modes_json": (modes_json, MODES_JSON_SQL),
+    "N4_N5_modes_json": (modes_json, MODES_JSON_SQL),
 }

@@ -17,27 +17,33 @@ REQUIRED = ("raw", "cmg_only", "file_summaries_only", "full")
 JUDGED_SQL = """cell AS (
   SELECT CAST(user_id AS VARCHAR) AS repo_name, CAST(FLOOR((EXTRACT(DAY FROM ts) - 1) / 7) AS INT) AS pr_number,
     CASE event_type WHEN 'view' THEN 'raw' WHEN 'click' THEN 'cmg_only' WHEN 'signup' THEN 'file_summaries_only' WHEN 'purchase' THEN 'full' ELSE 'original' END AS generation_mode,
-    MIN(event_id) AS ord, GREATEST(1.0::DOUBLE, 5.0::DOUBLE - 0.5::DOUBLE * COUNT(*)) AS score
+    MIN(event_id) AS ord, GREATEST(1.0::DOUBLE, 5.0::DOUBLE - 0.5::DOUBLE * COUNT(*)) AS score,
+    LEAST(2.0::DOUBLE, 0.5::DOUBLE * COUNT(*) FILTER (WHERE event_id % 3 = 0)) AS correctness_penalty, LEAST(2.0::DOUBLE, 0.5::DOUBLE * COUNT(*) FILTER (WHERE event_id % 3 = 1)) AS coverage_penalty,
+    CASE WHEN MIN(event_id) % 2 = 0 THEN LEAST(1.0::DOUBLE, 0.5::DOUBLE * COUNT(*)) END AS clarity_penalty
   FROM events GROUP BY 1, 2, 3),
 judged AS (
   SELECT g.repo_name, g.pr_number, g.generation_mode, g.ord, g.score AS generated_score, COALESCE(o.score, 5.0::DOUBLE) AS original_score,
-    CASE WHEN g.score > COALESCE(o.score, 5.0::DOUBLE) THEN 'generated' ELSE 'original' END AS prefers
+    CASE WHEN g.score > COALESCE(o.score, 5.0::DOUBLE) THEN 'generated' ELSE 'original' END AS prefers, g.correctness_penalty, g.coverage_penalty, g.clarity_penalty
   FROM cell g LEFT JOIN cell o ON g.repo_name = o.repo_name AND g.pr_number = o.pr_number AND o.generation_mode = 'original' WHERE g.generation_mode <> 'original')"""
 COMPLETE_SQL = JUDGED_SQL + """,
 complete AS (SELECT * FROM judged QUALIFY COUNT(*) OVER (PARTITION BY repo_name, pr_number) = 4),
-rows_ AS (SELECT repo_name, pr_number, generation_mode, ord, generated_score, original_score, prefers FROM complete
-  UNION ALL (SELECT repo_name, pr_number, 'original', ord, original_score, original_score, 'original' FROM complete QUALIFY ROW_NUMBER() OVER (PARTITION BY repo_name, pr_number ORDER BY ord) = 1))"""
+rows_ AS (SELECT repo_name, pr_number, generation_mode, ord, generated_score, original_score, prefers, correctness_penalty, coverage_penalty, clarity_penalty FROM complete
+  UNION ALL (SELECT repo_name, pr_number, 'original', ord, original_score, original_score, 'original', NULL, NULL, NULL FROM complete QUALIFY ROW_NUMBER() OVER (PARTITION BY repo_name, pr_number ORDER BY ord) = 1))"""
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
     mode = F.create_map(*[F.lit(x) for x in ("view", "raw", "click", "cmg_only", "signup", "file_summaries_only", "purchase", "full")])[F.col("event_type")]
     cell = table(spark, d, "events").groupBy(
         F.col("user_id").cast("string").alias("repo_name"), F.floor((F.dayofmonth("ts") - 1) / 7).cast("int").alias("pr_number"), F.coalesce(mode, F.lit("original")).alias("generation_mode")
-    ).agg(F.min("event_id").alias("ord"), F.greatest(F.lit(1.0), 5.0 - 0.5 * F.count("*")).alias("score"))
+    ).agg(
+        F.min("event_id").alias("ord"), F.greatest(F.lit(1.0), 5.0 - 0.5 * F.count("*")).alias("score"),
+        F.least(F.lit(2.0), 0.5 * F.count_if(F.col("event_id") % 3 == 0)).alias("correctness_penalty"), F.least(F.lit(2.0), 0.5 * F.count_if(F.col("event_id") % 3 == 1)).alias("coverage_penalty"),
+        F.when(F.min("event_id") % 2 == 0, F.least(F.lit(1.0), 0.5 * F.count("*"))).alias("clarity_penalty"),
+    )
     # The PR's own original is in its group: a window spares a join with itself.
     own = F.max(F.when(F.col("generation_mode") == "original", F.col("score"))).over(Window.partitionBy("repo_name", "pr_number"))
     both = cell.withColumn("original_score", F.coalesce(own, F.lit(5.0))).filter("generation_mode <> 'original'")
-    return both.select("repo_name", "pr_number", "generation_mode", "ord", F.col("score").alias("generated_score"), "original_score", S.preference("score", "original_score").alias("prefers"))
+    return both.select("repo_name", "pr_number", "generation_mode", "ord", F.col("score").alias("generated_score"), "original_score", S.preference("score", "original_score").alias("prefers"), "correctness_penalty", "coverage_penalty", "clarity_penalty")
 
 
 def complete(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +55,7 @@ def with_original(spark: SparkSession, d: str) -> DataFrame:
     rows = complete(spark, d)
     lead = first(rows.select("repo_name", "pr_number", "ord", "original_score"), ["repo_name", "pr_number"], ["ord"])
     original = lead.select("repo_name", "pr_number", F.lit("original").alias("generation_mode"), "ord", F.col("original_score").alias("generated_score"), "original_score", F.lit("original").alias("prefers"))
-    return rows.unionByName(original)
+    return rows.unionByName(original, allowMissingColumns=True)
 
 
 def mode_score_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +65,8 @@ def mode_score_stats(spark: SparkSession, d: str) -> DataFrame:
 
 MODE_STATS_SQL = f"""WITH {COMPLETE_SQL}
 SELECT generation_mode, COUNT(*) AS n, ROUND(AVG(generated_score), 6) AS avg_generated, ROUND(AVG(original_score), 6) AS avg_original, ROUND(AVG(generated_score - original_score), 6) AS avg_delta,
-ROUND(MEDIAN(generated_score), 6) AS median_generated, ROUND(STDDEV_SAMP(generated_score), 6) AS stdev_generated, ROUND(AVG(CASE WHEN prefers = 'generated' THEN 1.0::DOUBLE ELSE 0 END), 6) AS pref_rate FROM rows_ GROUP BY 1"""
+ROUND(MEDIAN(generated_score), 6) AS median_generated, ROUND(STDDEV_SAMP(generated_score), 6) AS stdev_generated, ROUND(AVG(CASE WHEN prefers = 'generated' THEN 1.0::DOUBLE ELSE 0 END), 6) AS pref_rate,
+ROUND(AVG(COALESCE(correctness_penalty, 0.0::DOUBLE)), 6) AS avg_correctness_penalty, ROUND(AVG(COALESCE(coverage_penalty, 0.0::DOUBLE)), 6) AS avg_coverage_penalty, ROUND(AVG(COALESCE(clarity_penalty, 0.0::DOUBLE)), 6) AS avg_clarity_penalty FROM rows_ GROUP BY 1"""
 
 
 def winner(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +116,7 @@ SELECT m.generation_mode, ROUND(m.a - r.a, 6) AS delta FROM m, m r WHERE r.gener
 
 
 #: Penalties made of the events: what is wrong follows from the event's type.
-PENALTY_SQL = """pen AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'raw' WHEN 'click' THEN 'cmg_only' WHEN 'signup' THEN 'file_summaries_only' ELSE 'full' END AS generation_mode, user_id,
+PENALTY_SQL = """pen AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'raw' WHEN 'click' THEN 'cmg_only' WHEN 'signup' THEN 'file_summaries_only' ELSE 'full' END AS generation_mode, user_id, CAST(FLOOR((EXTRACT(DAY FROM ts) - 1) / 7) AS INT) AS week,
   CASE WHEN event_id % 7 = 0 THEN 'style only' WHEN event_id % 11 = 0 THEN 'Missing mention of a key file' WHEN event_id % 5 = 0 THEN 'Unsupported claim about caching'
        WHEN event_id % 3 = 0 THEN 'Tests section is absent' WHEN event_id % 2 = 0 THEN 'Linked issue is not listed' ELSE 'Section header malformed' END AS reason FROM events),
 cat AS (SELECT *, CASE WHEN LOWER(reason) LIKE '%linked issue%' THEN 'linked_issue_mismatch' WHEN LOWER(reason) LIKE '%tests section%' THEN 'missing_test_coverage' WHEN LOWER(reason) LIKE '%unsupported claim%' THEN 'unsupported_specifics'
@@ -124,17 +131,19 @@ def penalties(spark: SparkSession, d: str) -> DataFrame:
         F.when(e % 7 == 0, "style only").when(e % 11 == 0, "Missing mention of a key file").when(e % 5 == 0, "Unsupported claim about caching")
         .when(e % 3 == 0, "Tests section is absent").when(e % 2 == 0, "Linked issue is not listed").otherwise("Section header malformed")
     )
-    return table(spark, d, "events").select("event_id", "user_id", mode.alias("generation_mode"), reason.alias("reason")).withColumn("category", T.penalty_category("reason"))
+    return table(spark, d, "events").select("event_id", "user_id", F.floor((F.dayofmonth("ts") - 1) / 7).cast("int").alias("week"), mode.alias("generation_mode"), reason.alias("reason")).withColumn("category", T.penalty_category("reason"))
 
 
 def penalty_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Penalties by category for each mode and, as mode 'all', together."""
-    return A.category_counts(penalties(spark, d), "generation_mode", "category", CATEGORIES, "user_id")
+    """By mode the judged cells (a user's week), those with a penalty, and penalties by category; every fourth event carries none."""
+    rows = penalties(spark, d).withColumn("category", F.when(F.col("event_id") % 4 != 0, F.col("category")))
+    return A.category_counts(rows, "generation_mode", ["user_id", "week"], "category", CATEGORIES)
 
 
-PENALTY_COUNTS_SQL = f"""WITH {PENALTY_SQL} SELECT COALESCE(generation_mode, 'all') AS generation_mode, COUNT(DISTINCT user_id) AS groups, COUNT(*) AS total,
-{', '.join(f"COUNT(*) FILTER (WHERE category = '{c}') AS {c}, ROUND(COUNT(*) FILTER (WHERE category = '{c}') / COUNT(*)::DOUBLE, 6) AS {c}_rate" for c in CATEGORIES)}
-FROM cat GROUP BY GROUPING SETS ((generation_mode), ())"""
+_COUNTS = ["linked_issue_mismatch", "missing_test_coverage", "unsupported_specifics", "missing_key_changes", "format_structure", "other"]
+PENALTY_COUNTS_SQL = f"""WITH {PENALTY_SQL}, c AS (SELECT generation_mode, user_id, week, COUNT(*) FILTER (WHERE event_id % 4 <> 0) AS k, {', '.join(f"COUNT(*) FILTER (WHERE event_id % 4 <> 0 AND category = '{c}') AS {c}" for c in _COUNTS)} FROM cat GROUP BY 1, 2, 3),
+s AS (SELECT COALESCE(generation_mode, 'all') AS generation_mode, COUNT(*) AS n, COUNT(*) FILTER (WHERE k > 0) AS penalized, SUM(k)::BIGINT AS total, {', '.join(f"SUM({c})::BIGINT AS {c}" for c in _COUNTS)} FROM c GROUP BY GROUPING SETS ((generation_mode), ()))
+SELECT *, ROUND(penalized / n::DOUBLE, 6) AS penalized_rate, {', '.join(f"ROUND({c} / total::DOUBLE, 6) AS {c}_rate" for c in _COUNTS)} FROM s"""
 
 
 def penalty_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -161,22 +170,14 @@ CASE WHEN GREATEST(a, b, c) <= 0 THEN NULL WHEN a = GREATEST(a, b, c) THEN 'corr
 
 
 def resume(spark: SparkSession, d: str) -> DataFrame:
-    """Generations whose PR has no rating yet."""
-    done = table(spark, d, "ratings").select("repo_name", "pr_number").distinct()
-    return table(spark, d, "generations").select("repo_name", "pr_number", "generation_mode").distinct().join(done, ["repo_name", "pr_number"], "left_anti")
-
-
-RESUME_SQL = """SELECT DISTINCT g.repo_name, g.pr_number, generation_mode FROM generations g ANTI JOIN ratings r ON g.repo_name = r.repo_name AND g.pr_number = r.pr_number"""
-
-
-def pivot_modes(spark: SparkSession, d: str) -> DataFrame:
-    """A row per PR with the length of the first description of each mode."""
-    rows = table(spark, d, "generations").select("repo_name", "pr_number", "generation_mode", "generation_id", F.length(F.coalesce("description", F.lit(""))).alias("chars"))
-    return rows.groupBy("repo_name", "pr_number").pivot("generation_mode", list(REQUIRED)).agg(F.min_by("chars", F.struct("generation_id", "chars")))
+    """Generations whose repository, PR and mode have no rating that names that mode yet."""
+    label = F.regexp_replace(F.lower(F.trim("c1")), "[ -]+", "_")
+    done = table(spark, d, "ratings").select("repo_name", "pr_number", label.alias("generation_mode")).filter("generation_mode IS NOT NULL").distinct()
+    return table(spark, d, "generations").select("repo_name", "pr_number", "generation_mode").distinct().join(done, ["repo_name", "pr_number", "generation_mode"], "left_anti")
 
 
-PIVOT_SQL = f"""WITH g AS (SELECT repo_name, pr_number, generation_mode, FIRST(LENGTH(COALESCE(description, '')) ORDER BY generation_id, LENGTH(COALESCE(description, ''))) AS c FROM generations GROUP BY 1, 2, 3)
-SELECT repo_name, pr_number, {', '.join(f"MAX(c) FILTER (WHERE generation_mode = '{m}')::INT AS {m}" for m in REQUIRED)} FROM g GROUP BY 1, 2"""
+RESUME_SQL = """WITH done AS (SELECT DISTINCT repo_name, pr_number, REGEXP_REPLACE(LOWER(TRIM(c1)), '[ -]+', '_', 'g') AS m FROM ratings)
+SELECT DISTINCT g.repo_name, g.pr_number, generation_mode FROM generations g ANTI JOIN done r ON g.repo_name = r.repo_name AND g.pr_number = r.pr_number AND g.generation_mode = r.m"""
 
 
 def baseline_mode(spark: SparkSession, d: str) -> DataFrame:
@@ -198,6 +199,5 @@ QUERIES = {
     "A9_penalty_delta": (penalty_delta, PENALTY_DELTA_SQL),
     "M15_M18_judge_rules": (judge_rules, JUDGE_RULES_SQL),
     "P18_resume": (resume, RESUME_SQL),
-    "N9_K6_pivot_modes": (pivot_modes, PIVOT_SQL),
     "N6_baseline_mode": (baseline_mode, BASELINE_SQL),
 }

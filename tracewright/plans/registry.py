@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewright.plans import evidence, graphs, judged, stages, survey, texts
+from tracewright.plans import evidence, exports, graphs, judged, stages, survey, texts
 
-MODULES = (judged, survey, evidence, texts, graphs, stages)
+MODULES = (judged, survey, evidence, texts, graphs, exports, stages)
 
 
 def queries() -> dict:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import paths as P
 from tracewright.functions import text as T
-from tracewright.operators import providers, rewrite
-from tracewright.operators.ranking import sample_head
+from tracewright.operators import providers, rewrite, verdicts
+from tracewright.operators.graph import commit_owner
+from tracewright.operators.ranking import sample_head, sample_per_group, shuffled
 from tracewright.operators.responses import lenient_object, parse_response
 from tracewright.plans import sqlparts as Q
 from tracewright.plans.evidence import conditional_commits
@@ -33,16 +34,22 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return answered.withColumn("candidate", T.clean_message_line(lenient_object(F.col("answer"), "message string")["message"])).drop("prompt", "answer")
 
 
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    c = _candidates(spark, d).withColumn("_ask", verdicts.verdict_prompt(F.col("message"), F.col("candidate"), F.coalesce("diff", F.lit("")), True))
+    judged = providers.call(c, "verdict", "_ask", "_said", "offline_verdict")
+    return rewrite.decide(judged.withColumn("_verdict", F.coalesce(verdicts.read_verdict(F.col("_said"), True), F.lit(False))), "message", "candidate", "diff", "ranked", "_verdict")
+
+
 def decisions(spark: SparkSession, d: str) -> DataFrame:
-    """The fate of each commit message."""
-    made = rewrite.decide(_candidates(spark, d), "message", "candidate", "diff", "ranked")
+    """The fate of each commit message; the offline judge has the last word."""
+    made = _decided(spark, d)
     return made.select("repo", "pr_number", "sha", "status", "reason")
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
     """Commits with their decisions."""
-    c = _candidates(spark, d)
-    made = rewrite.decide(c, "message", "candidate", "diff", "ranked").dropDuplicates(["sha"])
+    owner = commit_owner(table(spark, d, "commits")).select("sha", "repo", "pr_number")
+    made = _decided(spark, d).join(owner, ["sha", "repo", "pr_number"])  # of a commit in several PRs the last one's
     commits = table(spark, d, "commits").select("sha", "message").distinct()
     return rewrite.merge_rewrites(commits, made).select("sha", "status", "reason", F.col("cmg_rewritten_message").isNotNull().alias("changed"))
 
@@ -56,17 +63,6 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 ANSWERS_SQL = r"SELECT DISTINCT generation_id, CASE WHEN REGEXP_MATCHES(description, '^\s*\{') AND JSON_VALID(description) THEN LENGTH(JSON_EXTRACT_STRING(description, '$.pr_description')) ELSE LENGTH(REGEXP_REPLACE(description, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')) END::INT AS chars, STARTS_WITH(COALESCE(description, ''), '[LLM skipped:') AS skipped FROM generations"
 
 
-def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Prompt texts of descriptions, as lengths."""
-    rows = table(spark, d, "generations").select("generation_id", providers.judge_prompt(F.coalesce("description", F.lit("")), F.struct("repo_name", "pr_number")).alias("p"))
-    return rows.select("generation_id", F.length("p").alias("chars")).distinct()
-
-
-def prompts_sql() -> str:
-    head = "Subtract points for wrong, missing and unclear content. Answer as JSON with correctness_penalty, coverage_penalty, clarity_penalty and penalties."
-    return f"SELECT DISTINCT generation_id, ({len(head)} + 2 + 10 + LENGTH('{{\"repo_name\":\"' || repo_name || '\",\"pr_number\":' || pr_number || '}}') + 2 + 13 + LENGTH(COALESCE(description, '')))::INT AS chars FROM generations"
-
-
 def rollups(spark: SparkSession, d: str) -> DataFrame:
     """Chunk judgments made of events, rolled up by user."""
     e = table(spark, d, "events").select("user_id", F.col("event_id").alias("chunk"), ((F.col("event_id") % 5) * 0.5).alias("correctness_penalty"), ((F.col("event_id") % 3) * 0.5).alias("coverage_penalty"), F.lit(None).cast("double").alias("clarity_penalty"), F.array("event_type").alias("correctness_penalties"), F.array().cast("array<string>").alias("coverage_penalties"), F.lit(None).cast("array<string>").alias("clarity_penalties"))
@@ -86,20 +82,8 @@ def report(spark: SparkSession, d: str) -> DataFrame:
 REPORT_SQL = f"SELECT generation_mode, n, PRINTF('%.3f', avg_generated) AS avg_generated, PRINTF('%.3f', avg_delta) AS avg_delta, PRINTF('%.3f', pref_rate) AS pref_rate FROM ({MODE_STATS_SQL})"
 
 
-def commit_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Commits of a PR that touch documents first, then those with most diff lines; 5 in all."""
-    diff_lines = F.aggregate(F.coalesce("patches", F.array()), F.lit(0), lambda s, p: s + F.size(T.lines(p["patch"])))
-    rows = table(spark, d, "commits").select("repo", "pr_number", "sha", F.exists(F.coalesce("files_touched", F.array()), lambda f: F.lower(f).rlike("[.](md|rst|adoc|txt)$")).alias("docs"), diff_lines.alias("n")).groupBy("repo", "pr_number", "sha").agg(F.max("docs").alias("docs"), F.max("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("repo", "pr_number").orderBy(F.desc("docs"), F.when(F.col("docs"), 0).otherwise(-F.col("n")), "sha"))
-    return rows.withColumn("place", place).filter("place <= 5").select("repo", "pr_number", "sha", "place")
-
-
-EVIDENCE_SQL = f"""WITH c AS (SELECT repo, pr_number, sha, MAX(LEN([f FOR f IN COALESCE(files_touched, []) IF REGEXP_MATCHES(LOWER(f), '[.](md|rst|adoc|txt)$')]) > 0) AS docs, MAX(COALESCE(LIST_SUM([LEN({Q.lines('p.patch')}) FOR p IN COALESCE(patches, [])]), 0)) AS n FROM commits GROUP BY 1, 2, 3)
-SELECT repo, pr_number, sha, ROW_NUMBER() OVER (PARTITION BY repo, pr_number ORDER BY docs DESC, CASE WHEN docs THEN 0 ELSE -n END, sha)::INT AS place FROM c QUALIFY place <= 5"""
-
-
 def whole_commit_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """R7 as in the reference: all commits of a PR if 15 at most, in their order, else 25: those with documents, those that
+    """All commits of a PR if 15 at most, in their order, else 25: those with documents, those that
     change public symbols, then the longest; in the end by length. A diff's length counts its first 50 lines."""
     rows = table(spark, d, "commits").groupBy("repo", "pr_number", "sha").agg(F.max_by(F.coalesce("patches", F.array()), "ingested_at").alias("ps"))
     lines = F.aggregate("ps", F.lit(0), lambda s, p: s + F.size(T.changed_lines(p["patch"])) + F.when(F.coalesce(p["filename"], F.lit("")) != "", 1).otherwise(0))
@@ -124,8 +108,28 @@ SELECT repo, pr_number, sha, ROW_NUMBER() OVER (PARTITION BY repo, pr_number ORD
 
 
 def sampled(spark: SparkSession, d: str) -> DataFrame:
-    """A random sample of ten PRs."""
-    return sample_head(table(spark, d, "pull_requests").select("repo", "number").distinct(), 10, 42)
+    """A random sample of ten PRs."""
+    return sample_head(table(spark, d, "pull_requests").select("repo", "number").distinct(), ["repo", "number"], 10, 42)
+
+
+SAMPLE_SQL = "SELECT * FROM (SELECT DISTINCT repo, number FROM pull_requests) ORDER BY MD5(repo || '|' || number || '|42') LIMIT 10"
+
+
+def survey_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Ten PRs of each language's repositories, and for each a random assignment of its five versions to the letters A to E."""
+    prs = table(spark, d, "pull_requests").select("repo", "number").distinct()
+    names = table(spark, d, "repos").select(F.col("full_name").alias("repo"), F.coalesce("language", F.lit("other")).alias("dataset")).distinct()
+    some = sample_per_group(prs.join(F.broadcast(names), "repo"), ["dataset"], ["repo", "number"], 10, 7).drop("place")  # a row per repository
+    version = some.select("*", F.explode(F.array(*[F.lit(x) for x in VERSIONS])).alias("version"))
+    letter = F.row_number().over(Window.partitionBy("dataset", "repo", "number").orderBy(shuffled(["repo", "number", "version"], 9)))
+    return version.withColumn("letter", F.substring(F.lit("ABCDE"), letter, F.lit(1)))
+
+
+SURVEY_SAMPLE_SQL = """WITH p AS (SELECT DISTINCT repo, number FROM pull_requests), n AS (SELECT DISTINCT full_name AS repo, COALESCE(language, 'other') AS dataset FROM repos),
+s AS (SELECT repo, number, dataset FROM p JOIN n USING (repo) QUALIFY ROW_NUMBER() OVER (PARTITION BY dataset ORDER BY MD5(repo || '|' || number || '|7'), repo, number) <= 10),
+v AS (SELECT *, UNNEST(['original', 'raw', 'cmg_only', 'file_summaries_only', 'full']) AS version FROM s)
+SELECT repo, number, dataset, version, SUBSTR('ABCDE', ROW_NUMBER() OVER (PARTITION BY dataset, repo, number ORDER BY MD5(repo || '|' || number || '|' || version || '|9'))::INT, 1) AS letter FROM v"""
+VERSIONS = ("original", "raw", "cmg_only", "file_summaries_only", "full")
 
 
 def markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -160,12 +164,11 @@ QUERIES = {
     "M21_decisions": (decisions, None),
     "J9_merged": (merged, None),
     "N3_answers": (answers, ANSWERS_SQL),
-    "L12_prompts": (prompts, prompts_sql()),
     "A23_rollups": (rollups, ROLLUPS_SQL),
     "K5_T32_report": (report, REPORT_SQL),
-    "R7_commit_evidence": (commit_evidence, EVIDENCE_SQL),
     "R7_whole_commit_evidence": (whole_commit_evidence, WHOLE_EVIDENCE_SQL),
-    "R11_sample": (sampled, None),
+    "R11_sample": (sampled, SAMPLE_SQL),
+    "L24_survey_sample": (survey_sample, SURVEY_SAMPLE_SQL),
     "T22_markdown": (markdown, MARKDOWN_SQL),
     "T26_T28_names": (names, NAMES_SQL),
     "X1_windows": (windows, WINDOWS_SQL),

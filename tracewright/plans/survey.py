@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as T
 from tracewright.operators import aggregates as A
 from tracewright.operators.ranking import average_rank, position
-from tracewright.plans.judged import COMPLETE_SQL, complete, judged
+from tracewright.plans.judged import COMPLETE_SQL, complete, judged, with_original
 from tracewright.session import table
 
 MODES = ("view", "click", "signup", "purchase", "error")
@@ -169,31 +169,63 @@ e AS (SELECT SUM(a.c * b.c / (n.n::DOUBLE * n.n)) AS e FROM a JOIN b ON a.l = b.
 SELECT n, ROUND(o, 6) AS observed, ROUND(e, 6) AS expected, ROUND((o - e) / (1 - e), 6) AS kappa FROM n, e"""
 
 
+JUDGE_NAMES = ("view", "raw", "click", "cmg_only", "signup", "file_summaries_only", "purchase", "full", "error", "original")
+
+
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    """The ranks of a block with the judge's scores of the same modes; have = how many of the five the judge has."""
+    names = F.create_map(*[F.lit(x) for x in JUDGE_NAMES])
+    human = survey(spark, d).select("dataset", F.col("respondent").cast("string").alias("repo_name"), F.col("task").alias("pr_number"), "mode", names[F.col("mode")].alias("generation_mode"), "rnk")
+    judge = with_original(spark, d).select("repo_name", "pr_number", "generation_mode", F.col("generated_score").alias("score"))
+    both = human.join(judge, ["repo_name", "pr_number", "generation_mode"], "left")
+    return both.withColumn("have", F.count("score").over(Window.partitionBy("repo_name", "pr_number")))
+
+
+_ALIGNED_SQL = f"""{COMPLETE_SQL}, {SURVEY_SQL}, al AS (SELECT s.dataset, CAST(respondent AS VARCHAR) AS repo_name, task AS pr_number, mode, rnk, generated_score AS score, COUNT(generated_score) OVER (PARTITION BY respondent, task) AS have
+  FROM survey s LEFT JOIN rows_ r ON r.repo_name = CAST(respondent AS VARCHAR) AND r.pr_number = task AND r.generation_mode = CASE mode WHEN 'view' THEN 'raw' WHEN 'click' THEN 'cmg_only' WHEN 'signup' THEN 'file_summaries_only' WHEN 'purchase' THEN 'full' ELSE 'original' END)"""
+
+
+def missing_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of which the judge lacks a mode."""
+    return aligned(spark, d).filter("have < 5").select("dataset", "repo_name", "pr_number").distinct()
+
+
+MISSING_SQL = f"WITH {_ALIGNED_SQL} SELECT DISTINCT dataset, repo_name, pr_number FROM al WHERE have < 5"
+
+
 def task_tau(spark: SparkSession, d: str) -> DataFrame:
-    """Tau-b of each respondent's totals of a week against the judged order of modes."""
-    base = survey(spark, d).withColumns({"h": F.col("total").cast("double"), "j": (F.length("mode") % 3).cast("double")})
-    pairs = _pairs(base, ["respondent", "task"], "h", "j")
-    t = A.tau_b(pairs, ["respondent", "task"], F.col("l.h") - F.col("r.h"), F.col("l.j") - F.col("r.j"))
+    """Tau-b of a block's ranks against the judge's scores, both as better or worse."""
+    base = aligned(spark, d).filter("have = 5")
+    pairs = _pairs(base, ["dataset", "repo_name", "pr_number"], "rnk", "score")
+    t = A.tau_b(pairs, ["dataset", "repo_name", "pr_number"], F.col("r.rnk") - F.col("l.rnk"), F.col("l.score") - F.col("r.score"))
     return t.withColumn("tau", F.round("tau", 6))
 
 
-_TAU_SQL = f"""pr AS (SELECT l.respondent, l.task, SIGN(l.total - r.total) AS a, SIGN(LENGTH(l.mode) % 3 - LENGTH(r.mode) % 3) AS b FROM survey l JOIN survey r ON l.respondent = r.respondent AND l.task = r.task AND {_ORD.format('l')} < {_ORD.format('r')}),
-ct AS (SELECT respondent, task, COUNT(*) FILTER (WHERE a * b > 0) AS concordant, COUNT(*) FILTER (WHERE a * b < 0) AS discordant, COUNT(*) FILTER (WHERE a = 0 AND b <> 0) AS left_ties, COUNT(*) FILTER (WHERE b = 0 AND a <> 0) AS right_ties, COUNT(*) FILTER (WHERE a = 0 AND b = 0) AS both_ties FROM pr GROUP BY 1, 2),
-tau AS (SELECT *, (concordant - discordant) / SQRT((concordant + discordant + left_ties) * (concordant + discordant + right_ties)::DOUBLE) AS tau FROM ct)"""
-TAU_SQL = f"WITH {SURVEY_SQL}, {_TAU_SQL} SELECT * REPLACE (ROUND(tau, 6) AS tau) FROM tau"
+_TAU_SQL = f"""pr AS (SELECT l.dataset, l.repo_name, l.pr_number, SIGN(r.rnk - l.rnk) AS a, SIGN(l.score - r.score) AS b FROM al l JOIN al r ON l.have = 5 AND l.repo_name = r.repo_name AND l.pr_number = r.pr_number AND {_ORD.format('l')} < {_ORD.format('r')}),
+ct AS (SELECT dataset, repo_name, pr_number, COUNT(*) FILTER (WHERE a * b > 0) AS concordant, COUNT(*) FILTER (WHERE a * b < 0) AS discordant, COUNT(*) FILTER (WHERE a = 0 AND b <> 0) AS left_ties, COUNT(*) FILTER (WHERE b = 0 AND a <> 0) AS right_ties, COUNT(*) FILTER (WHERE a = 0 AND b = 0) AS both_ties FROM pr GROUP BY 1, 2, 3),
+tau AS (SELECT *, CASE WHEN (concordant + discordant + left_ties) * (concordant + discordant + right_ties) = 0 THEN 0.0::DOUBLE ELSE (concordant - discordant) / SQRT((concordant + discordant + left_ties) * (concordant + discordant + right_ties)::DOUBLE) END AS tau FROM ct)"""
+TAU_SQL = f"WITH {_ALIGNED_SQL}, {_TAU_SQL} SELECT * REPLACE (ROUND(tau, 6) AS tau) FROM tau"
 
 
 def tau_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks, mean and median tau by task and over all."""
-    t = task_tau(spark, d).select(F.explode(F.array(F.lit("all"), F.col("task").cast("string"))).alias("scope"), "tau")
-    return t.groupBy("scope").agg(F.count("*").alias("blocks"), F.round(F.avg("tau"), 6).alias("mean_tau"), F.round(F.median("tau"), 6).alias("median_tau"))
+    """By dataset and over all the blocks, kappa of the winners (a tie goes to the first mode in order), mean and median tau."""
+    place = position(F.col("mode"), MODES)
+    won = aligned(spark, d).filter("have = 5").groupBy("dataset", "repo_name", "pr_number").agg(F.min_by("mode", F.struct("rnk", place)).alias("h"), F.min_by("mode", F.struct(-F.col("score"), place)).alias("j"))
+    k = A.kappa(_scopes(won), "h", "j", ["scope"])
+    t = _scopes(task_tau(spark, d)).groupBy("scope").agg(F.count("*").alias("blocks"), F.round(F.avg("tau"), 5).alias("mean_tau"), F.round(F.median("tau"), 5).alias("median_tau"))
+    return t.join(k, "scope").select("scope", "blocks", *[F.round(x, 6).alias(x) for x in ("observed", "expected", "kappa")], "mean_tau", "median_tau")
 
 
-TAU_SUMMARY_SQL = f"WITH {SURVEY_SQL}, {_TAU_SQL}, s AS (SELECT UNNEST(['all', CAST(task AS VARCHAR)]) AS scope, ROUND(tau, 6) AS tau FROM tau) SELECT scope, COUNT(*) AS blocks, ROUND(AVG(tau), 6) AS mean_tau, ROUND(MEDIAN(tau), 6) AS median_tau FROM s GROUP BY 1"
+TAU_SUMMARY_SQL = f"""WITH {_ALIGNED_SQL}, {_TAU_SQL}, w AS (SELECT dataset, repo_name, pr_number, ARG_MIN(mode, rnk * 10 + {_ORD.format('al')}) AS h, ARG_MIN(mode, -score * 10 + {_ORD.format('al')} / 10.0) AS j FROM al WHERE have = 5 GROUP BY 1, 2, 3),
+ws AS (SELECT *, UNNEST(['all', dataset]) AS scope FROM w), n AS (SELECT scope, COUNT(*) AS n, AVG(CASE WHEN h = j THEN 1.0::DOUBLE ELSE 0 END) AS o FROM ws GROUP BY 1),
+hc AS (SELECT scope, h AS m, COUNT(*) AS c FROM ws GROUP BY 1, 2), jc AS (SELECT scope, j AS m, COUNT(*) AS c FROM ws GROUP BY 1, 2),
+e AS (SELECT n.scope, COALESCE(SUM(hc.c * jc.c / (n.n::DOUBLE * n.n)), 0.0::DOUBLE) AS e FROM n LEFT JOIN hc ON hc.scope = n.scope LEFT JOIN jc ON jc.scope = hc.scope AND jc.m = hc.m GROUP BY 1),
+ts AS (SELECT UNNEST(['all', dataset]) AS scope, ROUND(tau, 6) AS tau FROM tau), tt AS (SELECT scope, COUNT(*) AS blocks, ROUND(AVG(tau), 5) AS mean_tau, ROUND(MEDIAN(tau), 5) AS median_tau FROM ts GROUP BY 1)
+SELECT scope, blocks, ROUND(o, 6) AS observed, ROUND(e, 6) AS expected, ROUND(CASE WHEN ABS(e - 1) < 1e-12 THEN 0 ELSE (o - e) / (1 - e) END, 6) AS kappa, mean_tau, median_tau FROM tt JOIN n USING (scope) JOIN e USING (scope)"""
 
 
 def direction(spark: SparkSession, d: str) -> DataFrame:
-    """How often ranks and judged scores agree on whether a mode beats the original; blocks that the judge lacks apart."""
+    """How often ranks and judged scores agree on whether a mode beats the original; blocks that the judge lacks apart."""
     w = Window.partitionBy("respondent", "task")
     human = survey(spark, d).withColumn("own", F.max(F.when(F.col("mode") == "error", F.col("rnk"))).over(w)).filter("mode <> 'error'")
     names = F.create_map(*[F.lit(x) for x in ("view", "raw", "click", "cmg_only", "signup", "file_summaries_only", "purchase", "full")])
@@ -233,6 +265,7 @@ QUERIES = {
     "A18_kappa": (rater_kappa, KAPPA_SQL),
     "A19_tau_b": (task_tau, TAU_SQL),
     "A20_tau_summary": (tau_summary, TAU_SUMMARY_SQL),
-    "A21_J12_direction": (direction, DIRECTION_SQL),
+    "J12_missing_blocks": (missing_blocks, MISSING_SQL),
+    "A21_direction": (direction, DIRECTION_SQL),
     "J15_mode_pairs": (mode_pairs, MODE_PAIRS_SQL),
 }

@@ -9,6 +9,7 @@ from tracewright.functions import scores as S
 from tracewright.functions import text as T
 from tracewright.operators import lexical as L
 from tracewright.operators import retrieval as R
+from tracewright.plans import sqlparts as Q
 from tracewright.session import ensure_checkpoint_dir, spread, table
 
 #: A generated description and the body of its PR; the first version of each counts.
@@ -76,39 +77,76 @@ BM25_SQL = f"WITH {_DEMOS_SQL} SELECT token, df, ROUND(LN(1 + (n - df + 0.5::DOU
 
 
 def demos(spark: SparkSession, d: str) -> DataFrame:
-    """The three best documents for each document whose id is divisible by 50."""
+    """The three best documents for each document whose id is divisible by 50."""
     ensure_checkpoint_dir(spark)
     docs = spread(_demos(spark, d), "id").checkpoint()
     return R.top_demos(docs, docs.filter("id % 50 = 0"), 3).select("query", "id", F.round("score", 4).alias("score"), "place")
 
 
-DEMOS_SQL = f"d AS (SELECT doc_id AS id, COALESCE(source, '#' || CAST(doc_id AS VARCHAR)) AS scope, {_TOKENS} AS tokens, (doc_id % 7)::INT AS files FROM documents), n AS (SELECT COUNT(*) AS n, GREATEST(1.0::DOUBLE, AVG(LEN(tokens))) AS avgdl FROM d), df AS (SELECT token, COUNT(DISTINCT id) AS df FROM (SELECT id, UNNEST(tokens) AS token FROM d) GROUP BY 1)"
-BM25_SQL = f"WITH {_DEMOS_SQL} SELECT token, df, ROUND(LN(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, n"
+DEMOS_SQL = f"""WITH {_DEMOS_SQL}, tf AS (SELECT id, token, COUNT(*) AS tf FROM (SELECT id, UNNEST(tokens) AS token FROM d) GROUP BY 1, 2),
+ds AS (SELECT id, scope, files, LEN(tokens) AS size, LEN(LIST_DISTINCT(tokens)) AS uniq FROM d), qs AS (SELECT * FROM ds WHERE id % 50 = 0),
+hit AS (SELECT q.id AS qid, t.id, COUNT(*) AS inter, SUM(q.tf * LN(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * t.tf * 2.5::DOUBLE / (t.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * ds.size / avgdl))) AS bm
+  FROM tf q JOIN tf t ON q.token = t.token JOIN df ON df.token = q.token JOIN ds ON ds.id = t.id, n WHERE q.id % 50 = 0 GROUP BY 1, 2),
+c AS (SELECT q.id AS qid, ds.id, COALESCE(hit.bm, 0) AS bm, CASE WHEN q.uniq > 0 AND ds.uniq > 0 THEN COALESCE(inter, 0) / (q.uniq + ds.uniq - COALESCE(inter, 0))::DOUBLE ELSE 0 END
+   + 0.2::DOUBLE * (1 - LEAST(ABS(q.uniq - ds.size) / GREATEST(q.uniq, ds.size, 1)::DOUBLE, 1)) + 0.1::DOUBLE * (1 - LEAST(ABS(q.files - ds.files) / GREATEST(q.files, ds.files, 1)::DOUBLE, 1)) AS base
+  FROM qs q JOIN ds ON q.scope <> ds.scope LEFT JOIN hit ON hit.qid = q.id AND hit.id = ds.id),
+s AS (SELECT *, MIN(bm) OVER (PARTITION BY qid) AS lo, MAX(bm) OVER (PARTITION BY qid) AS hi FROM c)
+SELECT qid AS query, id, ROUND(ROUND(0.5 * base + 0.25 * CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0 END, 9), 4) AS score, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY ROUND(0.5 * base + 0.25 * CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0 END, 9) DESC, id DESC)::INT AS place FROM s QUALIFY place <= 3"""
 
 
-def demos(spark: SparkSession, d: str) -> DataFrame:
-    """The three best documents for each document whose id is divisible by 50."""
-    ensure_checkpoint_dir(spark)
-    docs = _demos(spark, d).checkpoint()
-    return R.top_demos(docs, docs.filter("id % 50 = 0"), 3).select("query", "id", F.round("score", 4).alias("score"), "place")
+def commit_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Commits with a good message and a diff that isn't empty, with the PR that holds them last."""
+    last = F.max_by(F.struct("repo", "pr_number", "message", "patches", "files_touched"), F.struct("ingested_at", "repo", "pr_number")).alias("c")
+    rows = table(spark, d, "commits").groupBy("sha").agg(last).select("sha", "c.*").filter(T.is_good_message("message"))
+    diff = rows.withColumn("diff", T.render_diff("patches")).filter("diff <> ''")
+    tokens = T.code_tokens("diff")
+    pr = F.concat_ws("#", "repo", F.col("pr_number").cast("string"))
+    return diff.select(F.col("sha").alias("id"), pr.alias("scope"), F.col("repo").alias("within"), tokens.alias("tokens"), F.coalesce(F.size("files_touched"), F.lit(0)).alias("files"), T.trimmed("message").alias("message")).withColumn("size", F.size("tokens"))
+
+
+def corpus_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus with its sizes."""
+    return commit_corpus(spark, d).select(F.col("id").alias("sha"), F.col("scope").alias("pr"), "message", F.col("size").alias("tokens"), "files")
+
 
+def _asked(docs: DataFrame) -> DataFrame:
+    """The stated queries: commits whose sha, read as a number, is divisible by 50."""
+    return docs.filter(F.pmod(F.conv(F.substring("id", 1, 8), 16, 10).cast("long"), F.lit(50)) == 0)
 
-def _shared(spark: SparkSession) -> bool:
-    from tracewright.session import ensure_checkpoint_dir
 
+def commit_demos(spark: SparkSession, d: str) -> DataFrame:
+    """The three best commits of other PRs for each queried commit."""
     ensure_checkpoint_dir(spark)
-    return True
+    docs = spread(commit_corpus(spark, d).drop("message"), "id").checkpoint()
+    return R.top_demos(docs, _asked(docs), 3).select("query", "id", F.round("score", 4).alias("score"), "place")
 
 
-DEMOS_SQL = f"""WITH {_DEMOS_SQL}, tf AS (SELECT id, token, COUNT(*) AS tf FROM (SELECT id, UNNEST(tokens) AS token FROM d) GROUP BY 1, 2),
-ds AS (SELECT id, scope, files, LEN(tokens) AS size, LEN(LIST_DISTINCT(tokens)) AS uniq FROM d), qs AS (SELECT * FROM ds WHERE id % 50 = 0),
+def repo_demos(spark: SparkSession, d: str) -> DataFrame:
+    """The same inside the commit's own repository."""
+    ensure_checkpoint_dir(spark)
+    docs = spread(commit_corpus(spark, d).drop("message"), "id").checkpoint()
+    return R.top_demos(docs, _asked(docs), 3, same=True).select("query", "id", F.round("score", 4).alias("score"), "place")
+
+
+_RENDERED = f"""ARRAY_TO_STRING(FLATTEN([(CASE WHEN COALESCE(p.filename, '') <> '' THEN ['<FILE> ' || p.filename] ELSE CAST([] AS VARCHAR[]) END) ||
+  [CASE SUBSTR(y, 1, 1) WHEN ' ' THEN '<CTX> ' WHEN '+' THEN '<ADD> ' ELSE '<DEL> ' END || SUBSTR(y, 2) FOR y IN {Q.lines('p.patch')} IF SUBSTR(y, 1, 1) IN (' ', '+', '-') AND NOT STARTS_WITH(y, '+++') AND NOT STARTS_WITH(y, '---')] FOR p IN COALESCE(patches, [])]), CHR(10))"""
+_CORPUS_SQL = rf"""c0 AS (SELECT sha, ARG_MAX({{'repo': repo, 'pr_number': pr_number, 'message': message, 'patches': patches, 'files_touched': files_touched}}, (ingested_at, repo, pr_number)) AS c FROM commits GROUP BY 1),
+c1 AS (SELECT sha, c.repo AS repo, c.pr_number AS pr_number, {Q.trimmed('c.message')} AS message, c.patches AS patches, COALESCE(LEN(c.files_touched), 0)::INT AS files FROM c0),
+c2 AS (SELECT *, SUBSTR({_RENDERED}, 1, 40000) AS diff FROM c1 WHERE {Q.good('message')}),
+corpus AS (SELECT sha AS id, repo || '#' || pr_number AS scope, repo AS within, {Q.code_tokens('diff')} AS tokens, files, message FROM c2 WHERE diff <> '')"""
+CORPUS_SQL = f"WITH {_CORPUS_SQL} SELECT id AS sha, scope AS pr, message, LEN(tokens)::INT AS tokens, files FROM corpus"
+_RANKED_SQL = """n AS (SELECT COUNT(*) AS n, GREATEST(1.0::DOUBLE, AVG(LEN(tokens))) AS avgdl FROM d), df AS (SELECT token, COUNT(DISTINCT id) AS df FROM (SELECT id, UNNEST(tokens) AS token FROM d) GROUP BY 1),
+tf AS (SELECT id, token, COUNT(*) AS tf FROM (SELECT id, UNNEST(tokens) AS token FROM d) GROUP BY 1, 2),
+ds AS (SELECT id, scope, within, files, LEN(tokens) AS size, LEN(LIST_DISTINCT(tokens)) AS uniq FROM d), qs AS (SELECT * FROM ds WHERE CAST('0x' || SUBSTR(id, 1, 8) AS BIGINT) % 50 = 0),
 hit AS (SELECT q.id AS qid, t.id, COUNT(*) AS inter, SUM(q.tf * LN(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * t.tf * 2.5::DOUBLE / (t.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * ds.size / avgdl))) AS bm
-  FROM tf q JOIN tf t ON q.token = t.token JOIN df ON df.token = q.token JOIN ds ON ds.id = t.id, n WHERE q.id % 50 = 0 GROUP BY 1, 2),
+  FROM tf q JOIN qs ON qs.id = q.id JOIN tf t ON q.token = t.token JOIN df ON df.token = q.token JOIN ds ON ds.id = t.id, n GROUP BY 1, 2),
 c AS (SELECT q.id AS qid, ds.id, COALESCE(hit.bm, 0) AS bm, CASE WHEN q.uniq > 0 AND ds.uniq > 0 THEN COALESCE(inter, 0) / (q.uniq + ds.uniq - COALESCE(inter, 0))::DOUBLE ELSE 0 END
    + 0.2::DOUBLE * (1 - LEAST(ABS(q.uniq - ds.size) / GREATEST(q.uniq, ds.size, 1)::DOUBLE, 1)) + 0.1::DOUBLE * (1 - LEAST(ABS(q.files - ds.files) / GREATEST(q.files, ds.files, 1)::DOUBLE, 1)) AS base
-  FROM qs q JOIN ds ON q.scope <> ds.scope LEFT JOIN hit ON hit.qid = q.id AND hit.id = ds.id),
+  FROM qs q JOIN ds ON q.scope <> ds.scope{same} LEFT JOIN hit ON hit.qid = q.id AND hit.id = ds.id),
 s AS (SELECT *, MIN(bm) OVER (PARTITION BY qid) AS lo, MAX(bm) OVER (PARTITION BY qid) AS hi FROM c)
 SELECT qid AS query, id, ROUND(ROUND(0.5 * base + 0.25 * CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0 END, 9), 4) AS score, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY ROUND(0.5 * base + 0.25 * CASE WHEN hi > lo THEN (bm - lo) / (hi - lo) ELSE 0 END, 9) DESC, id DESC)::INT AS place FROM s QUALIFY place <= 3"""
+COMMIT_DEMOS_SQL = f"WITH {_CORPUS_SQL}, d AS (SELECT * FROM corpus), " + _RANKED_SQL.replace("{same}", "")
+REPO_DEMOS_SQL = f"WITH {_CORPUS_SQL}, d AS (SELECT * FROM corpus), " + _RANKED_SQL.replace("{same}", " AND q.within = ds.within")
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -136,6 +174,9 @@ QUERIES = {
     "A5_M14_lexical": (mode_lexical, None),
     "A22_bm25_stats": (bm25_stats, BM25_SQL),
     "M4_M5_demos": (demos, DEMOS_SQL),
+    "S4_corpus": (corpus_rows, CORPUS_SQL),
+    "J16_J17_commit_demos": (commit_demos, COMMIT_DEMOS_SQL),
+    "J17_repo_demos": (repo_demos, REPO_DEMOS_SQL),
     "M3_vectors": (vectors, VECTORS_SQL),
     "M1_D10_jaccard": (text_jaccard, JACCARD_SQL),
 }
