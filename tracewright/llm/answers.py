@@ -116,6 +116,14 @@ def _json_text(text: str) -> str:
         return text
 
 
+#: A stem of each entry of the dictionary: a text without any of them can't decline, which spares the search.
+_STEMS = (
+    "sorry apolog regret unfortun afraid leider leid entschuld siento lament désol malheur desculp sinto infeliz dispiace purtroppo niestety przeprasz helaas tyvärr bohužel maalesef üzgün"
+    " not n't n’t cant unab unwill imposs declin refus rather prefer lack insuff access block withheld filter prohib forbid against prevent skip nothing outside beyond"
+    " puedo posible peux posso consigo mogę kann kan nemohu yapamam edemem language assistant please could would"
+).split() + ["no summary", "no description", "no answer", "no text", "no response", "no content", "as an ai", "can you"]
+
+
 def _declines(sentence: str) -> bool:
     regret, own = _REGRET.search(sentence), _UNABLE_OWN.search(sentence)
     unable = own or _UNABLE.search(sentence)
@@ -130,6 +138,9 @@ def is_refusal(text: str) -> bool:
     """At least half of the sentences, those apart that only offer help, decline the task."""
     if text.lstrip()[:1] == "{":
         text = _json_text(text)
+    low = text.lower()
+    if not any(stem in low for stem in _STEMS):
+        return False
     said = [x for s in _SENTENCE.split(plain(text).strip()) if (x := s.strip()) and _LETTER.search(x)]
     declined = [_declines(s) for s in said]
     told = sum(1 for s, d in zip(said, declined) if d or not _OFFER.search(s))
@@ -141,11 +152,12 @@ def language(text: str) -> str | None:
     letters = _LETTER.findall(text)
     if not letters:
         return None
-    for code, script in (("ja", "[぀-ヿ]"), ("ko", "[가-힯]"), ("zh", "[一-鿿]"), ("ru", "[Ѐ-ӿ]"), ("ar", "[؀-ۿ]"), ("el", "[Ͱ-Ͽ]")):
-        if len(re.findall(script, text)) > (0.1 if code == "ja" else 0.3) * len(letters):
+    wide = "" if text.isascii() else "".join(c for c in text if c > "\u036f")
+    for code, script in () if not wide else (("ja", "[぀-ヿ]"), ("ko", "[가-힯]"), ("zh", "[一-鿿]"), ("ru", "[Ѐ-ӿ]"), ("ar", "[؀-ۿ]"), ("el", "[Ͱ-Ͽ]")):
+        if len(re.findall(script, wide)) > (0.1 if code == "ja" else 0.3) * len(letters):
             return code
     hits: Counter = Counter(x for w in re.findall(r"[^\W\d_]+", text.lower()) for x in _STOP.get(w, ()))
-    for code, marks in _MARKS.items():
+    for code, marks in () if text.isascii() else _MARKS.items():
         if marks.search(text):
             hits[code] += 1
     ranked = hits.most_common(2)
