@@ -50,10 +50,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+#: Splits of an input up to which it may be spread; some 8 GB at the usual size of a split.
+MOST_SPLITS = 64
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores where the input's own splits would leave half of them idle.
+    """Rows over all cores where a small input's own splits would leave half of them idle.
 
-    A large input has more splits than that and is left as it is: nothing is shuffled.
+    An input of more than MOST_SPLITS splits is left as it is, however many cores there are: nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores, key) if 2 * splits <= cores and splits <= MOST_SPLITS else df
