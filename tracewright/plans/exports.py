@@ -185,11 +185,20 @@ def single_verdicts(spark: SparkSession, d: str) -> DataFrame:
     for name, pairwise in (("pairwise", True), ("binary", False)):
         asked = out.withColumn("prompt", verdicts.verdict_prompt(F.col("message"), F.col("author"), F.coalesce("diff", F.lit("")), pairwise))
         answered = providers.call(asked, "verdict", "prompt", f"{name}_answer", "offline_verdict")
-        noise = F.when(F.pmod(F.crc32("sha"), F.lit(9)) == 0, F.lit("maybe")).otherwise(F.concat(F.lit(" "), F.lower(f"{name}_answer")))
+        noise = F.when(F.pmod(F.conv(F.substring("sha", 1, 4), 16, 10).cast("int"), F.lit(9)) == 0, F.lit("maybe")).otherwise(F.concat(F.lit(" "), F.lower(f"{name}_answer")))
         out = answered.withColumn(name, verdicts.read_verdict(noise, pairwise)).drop("prompt", f"{name}_answer")
     return out.select("sha", "pairwise", "binary")
 
 
+def _asked_sql(first: str, second: str, ask: str) -> str:
+    return f"SUBSTR(MD5('Diff:' || CHR(10) || SUBSTR(COALESCE(c.d, ''), 1, 1500) || CHR(10) || CHR(10) || '{first}' || COALESCE(c.m, '') || CHR(10) || CHR(10) || '{second}' || COALESCE(c.a, '') || CHR(10) || CHR(10) || '{ask}'), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')"
+
+
+SINGLE_VERDICTS_SQL = f"""WITH c AS (SELECT sha, ARG_MAX({{'m': message, 'a': author, 'd': ARRAY_TO_STRING(files_touched, ' ')}}, (ingested_at, repo, pr_number)) AS c FROM commits GROUP BY 1)
+SELECT sha, CASE WHEN CAST('0x' || SUBSTR(sha, 1, 4) AS INT) % 9 <> 0 THEN {_asked_sql('A: ', 'B: ', 'Which message tells the change better, A or B? Answer with one letter.')} END AS pairwise,
+CASE WHEN CAST('0x' || SUBSTR(sha, 1, 4) AS INT) % 9 <> 0 THEN {_asked_sql('Original: ', 'New: ', 'Is the new message clearly better? Answer YES or NO.')} END AS "binary" FROM c"""
+
+
 def batch_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts read out of one answer for all commits of a PR; commits without an entry, and those of an answer that is no array, are rejected; with the judge off all pass."""
     x = F.expr("try_cast(conv(substring(sha, 1, 4), 16, 10) AS int)")
@@ -237,7 +246,7 @@ QUERIES = {
     "N9_N10_K6_L17_export": (export_rows, EXPORT_SQL),
     "L18_export_names": (export_names, EXPORT_NAMES_SQL),
     "N7_rounded_maps": (rounded_maps, ROUNDED_SQL),
-    "L9_verdicts": (single_verdicts, None),
+    "L9_verdicts": (single_verdicts, SINGLE_VERDICTS_SQL),
     "L8_batch_verdicts": (batch_verdicts, BATCH_VERDICTS_SQL),
     "L10_file_summaries": (file_summaries, FILE_SUMMARIES_SQL),
     "T27_labels": (dataset_labels, LABELS_SQL),
